@@ -84,3 +84,18 @@ def gapless_index(df: DataFrame, keys: list[str], order: list[str], out: str, ro
         .withColumn(out, F.col(out) + F.col(begin))
         .drop(chunk, begin)
     )
+
+
+def slices(batch, column: int, most_bytes: int = 8 << 20):
+    """Consecutive row slices of an Arrow batch whose text column holds about ``most_bytes`` at most, one row at least."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    if not batch.num_rows:
+        return
+    sizes = pc.fill_null(pc.binary_length(batch.column(column).cast(pa.large_binary())), 0).to_numpy(zero_copy_only=False)
+    part = (np.cumsum(sizes) - sizes) // most_bytes
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        yield batch.slice(a, b - a)

@@ -84,7 +84,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, repeats: int = REPE
     """
     spark = docs.sparkSession
     base = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count().alias("size")), "mix-sizes")
-    shards = chunks_for(base.count(), most=1024)
+    shards = chunks_for(base.count(), rows_per_chunk=4_000, most=1024)
     shard = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("size")), F.lit(shards)).cast("int")
     cells = base.withColumn("shard", shard).groupBy("source", "shard").agg(F.sum("size").alias("words"))
     if cells.select("source").distinct().limit(max_sources + 1).count() > max_sources:

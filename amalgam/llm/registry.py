@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("packing", "exact_dedup", "mixing", "sharding")
+_MODULES = ("flac", "huffman", "packing", "exact_dedup", "mixing", "warc", "sharding")
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
