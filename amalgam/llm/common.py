@@ -2,46 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: A word: a run of characters other than ASCII white space.
-WORD = r"[^\x20\x09-\x0D]+"
+from ..storage import materialize, work_base
 
-_own_base: dict[str, str] = {}
+__all__ = ["WORD", "chunks_for", "documents", "gapless_index", "materialize", "slices", "text_of", "utf8_bytes", "word_count", "work_base"]
 
+#: A word: a run of characters other than ASCII white space.
+WORD = r"[^\x20\x09-\x0D]+"
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def work_base(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where it is unset, a temporary folder stands in, but only in local mode, as in tests.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _own_base:
-        _own_base[app] = tempfile.mkdtemp(prefix="amalgam-")
-    return _own_base[app]
-
-
-def materialize(df: DataFrame, label: str, **options: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back: lineage ends there and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{work_base(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def text_of(column: str = "text") -> Column:
     """The text with null as the empty string."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
