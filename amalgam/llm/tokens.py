@@ -7,6 +7,7 @@ of a text are those of its chunks in order.
 from __future__ import annotations
 
 import os
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +23,20 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+_encoders: dict[str, ChunkEncoder] = {}
+
+
+def encoder(name: str) -> ChunkEncoder:
+    """This process's encoder: what one task has learned serves the next."""
+    if name not in _encoders:
+        _encoders[name] = ChunkEncoder(name)
+    return _encoders[name]
+
+
 class ChunkEncoder:
     """Encodes texts; keeps the ids of up to ``most`` distinct chunks."""
 
-    def __init__(self, name: str, most: int = 400_000) -> None:
+    def __init__(self, name: str, most: int = 500_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -40,26 +51,51 @@ class ChunkEncoder:
     def _learn(self, chunks: list[str]) -> None:
         found = [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
         length = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((i for ids in found for i in ids), np.uint32, int(length.sum()))
+        flat = np.fromiter(chain.from_iterable(found), np.uint32, int(length.sum()))
         at = len(self.place)
         self.place.update(zip(chunks, range(at, at + len(chunks)), strict=True))
         self.begin = np.concatenate([self.begin, len(self.ids) + np.cumsum(length) - length])
         self.length = np.concatenate([self.length, length])
         self.ids = np.concatenate([self.ids, flat])
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts (null: none) one after another, and how many each has."""
-        words = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
-        coded = words.flatten().dictionary_encode()
-        distinct, code = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+    def _lists(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of each piece begin in ``self.ids``, and how many there are."""
+        coded = pieces.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
         if len(self.place) > self.most:
             self._clear()
         if new := [w for w in distinct if w not in self.place]:
             self._learn(new)
-        place = np.fromiter((self.place[w] for w in distinct), np.int64, len(distinct))[code]
-        length = self.length[place]
-        stop = np.cumsum(length)
-        total = int(stop[-1]) if len(stop) else 0
-        at = np.repeat(self.begin[place] - (stop - length), length) + np.arange(total)
-        ends = np.concatenate([[0], stop])[words.offsets.to_numpy() - words.offsets[0].as_py()]
-        return self.ids[at], np.diff(ends)
+        place = np.fromiter(map(self.place.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
+        return self.begin[place], self.length[place]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (null: none) one after another, and how many each has."""
+        words = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+        chunks = words.flatten().dictionary_encode()
+        pieces = pc.ascii_split_whitespace(spaced(chunks.dictionary))
+        begin, length = self._lists(pieces.flatten())
+        of_chunk, n = gather(self.ids, begin, length, pieces.offsets.to_numpy() - pieces.offsets[0].as_py())
+        code = chunks.indices.to_numpy()
+        start = np.cumsum(n) - n
+        return gather(of_chunk, start[code], n[code], words.offsets.to_numpy() - words.offsets[0].as_py())
+
+
+def gather(values: np.ndarray, begin: np.ndarray, length: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """values[begin:begin+length] of all runs one after another, and how many each group of runs has."""
+    stop = np.cumsum(length)
+    total = int(stop[-1]) if len(stop) else 0
+    at = np.repeat(begin - (stop - length), length) + np.arange(total)
+    return values[at], np.diff(np.concatenate([[0], stop])[groups])
+
+
+def spaced(chunks: pa.Array) -> pa.Array:
+    """The chunks with A-Z in lower case and a space between letters and other signs, where the tokenizer cuts anyway.
+
+    Left as they are: chunks that may hold a special token, a contraction, or a letter whose lower case depends on what follows.
+    """
+    keep = pc.match_substring_regex(chunks, "<[|]|'|\u03a3")
+    other = r"[^\p{L}\p{N}\p{M}\s]"
+    cut = pc.replace_substring_regex(pc.ascii_lower(chunks), rf"(\p{{L}})({other})", r"\1 \2")
+    cut = pc.replace_substring_regex(cut, rf"({other})(\p{{L}})", r"\1 \2")
+    return pc.if_else(keep, chunks, cut)
