@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("flac", "pseudo_lm", "huffman", "packing", "line_crf", "exact_dedup", "mixing", "warc", "sharding")
+_MODULES = ("flac", "pseudo_lm", "huffman", "packing", "line_crf", "set_join", "exact_dedup", "mixing", "warc", "sharding")
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}

@@ -40,7 +40,9 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     inside = np.flatnonzero(~gap)
     begin = np.cumsum(size) - size
     place = np.arange(len(inside)) - np.repeat(begin, size)
-    power = np.cumprod(np.concatenate([[1], np.full(int(size.max(initial=1)), _BASE)]).astype(np.uint64), dtype=np.uint64)
+    power = np.full(int(size.max(initial=1)), _BASE, np.uint64)
+    power[0] = 1
+    power = np.cumprod(power, dtype=np.uint64)
     words = mix(np.add.reduceat(_LETTER[data[inside]] * power[place], begin)) if len(size) else np.zeros(0, np.uint64)
     return words, np.diff(np.searchsorted(first, offsets))
 
