@@ -229,18 +229,18 @@ def score(docs: DataFrame, model: LineCrf) -> DataFrame:
     return quality_of(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model).select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-def quality_of(docs: DataFrame, model: LineCrf) -> DataFrame:
-    """All columns of ``docs``, among them text, with their quality as the last column, score."""
+def quality_of(docs: DataFrame, model: LineCrf, out: str = "score") -> DataFrame:
+    """All columns of ``docs``, among them text, with their quality as the last column, ``out``."""
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, at, 4 << 20):
                 scores = model.scores([t or "" for t in part.column(at).to_pylist()])
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores, pa.float64())], [*part.schema.names, "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores, pa.float64())], [*part.schema.names, out])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{fields}, score double")
+    return docs.mapInArrow(run, f"{fields}, `{out}` double")
 
 
 def op5_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
