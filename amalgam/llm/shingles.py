@@ -47,8 +47,19 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return words, np.diff(np.searchsorted(first, offsets))
 
 
+#: Bytes of text that are hashed at once; a working set of about 60 times as many.
+BYTES_AT_ONCE = 2 << 20
+
+
 def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text; a text of fewer words is one shingle, one without words has none."""
+    size = pc.fill_null(pc.binary_length(texts.cast(pa.large_binary())), 0).to_numpy(zero_copy_only=False)
+    part = (np.cumsum(size) - size) // BYTES_AT_ONCE
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]
+    return [s for a, b in zip(cuts, cuts[1:], strict=False) for s in _sets(texts.slice(a, b - a), width)]
+
+
+def _sets(texts: pa.Array, width: int) -> list[np.ndarray]:
     words, n = word_hashes(texts)
     rolled = np.zeros(max(0, len(words) - width + 1), np.uint64)
     for k in range(width):
