@@ -160,30 +160,22 @@ def id_counts(ids: DataFrame, kind: str) -> DataFrame:
     return ids.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
-CODED = "doc_id long, n int, bits binary, marks binary"
 BLOCKS = "part int, seq int, start_in_part long, doc_ids array<long>, doc_lens array<int>, n_ids long, bits binary, checkpoints binary"
 _BLOCK_TYPES = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("start_in_part", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_lens", pa.list_(pa.int32())), ("n_ids", pa.int64()), ("bits", pa.binary()), ("checkpoints", pa.binary())])
 
 
-def coded_documents(ids: DataFrame, kind: str, codes: np.ndarray, lengths: np.ndarray) -> DataFrame:
-    """Each document's bit string, and its bit offsets at every STRIDE-th id and at its end."""
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, 1, 4 << 20):
-                raw = part.column(1).to_pylist()
-                flat = np.frombuffer(b"".join(raw), kind)
-                n = np.array([len(r) for r in raw], np.int64) // flat.itemsize
-                data, n_bytes, at = encode_ids(flat, n, codes, lengths)
-                data, ends, stop = data.tobytes(), np.cumsum(n_bytes).tolist(), np.cumsum(n).tolist()
-                bits, marks = [], []
-                for e, k, s, c in zip(ends, n_bytes.tolist(), stop, n.tolist(), strict=True):
-                    bits.append(data[e - k : e])
-                    last = at[s - 1] + lengths[flat[s - 1]] if c else (e - k) * 8
-                    marks.append((np.append(at[s - c : s : STRIDE], last) - (e - k) * 8).astype("<u4").tobytes())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int32()), pa.array(bits, pa.binary()), pa.array(marks, pa.binary())], ["doc_id", "n", "bits", "marks"])
-
-    return ids.mapInArrow(encode, CODED)
+def coded(batches: Iterator[pa.RecordBatch], kind: str, codes: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[int | None, int, bytes, np.ndarray]]:
+    """doc_id, number of ids, bit string, and bit offsets at every STRIDE-th id and at the end, of each row (doc_id, ids)."""
+    for batch in batches:
+        for part in slices(batch, 1, 4 << 20):
+            raw = part.column(1).to_pylist()
+            flat = np.frombuffer(b"".join(raw), kind)
+            n = np.array([len(r) for r in raw], np.int64) // flat.itemsize
+            data, n_bytes, at = encode_ids(flat, n, codes, lengths)
+            data = data.tobytes()
+            for doc, e, k, s, c in zip(part.column(0).to_pylist(), np.cumsum(n_bytes).tolist(), n_bytes.tolist(), np.cumsum(n).tolist(), n.tolist(), strict=True):
+                last = at[s - 1] + lengths[flat[s - 1]] if c else (e - k) * 8
+                yield doc, c, data[e - k : e], np.append(at[s - c : s : STRIDE], last) - (e - k) * 8
 
 
 def write_ids(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id: int = END_ID, ids_per_file: int = 4_000_000) -> None:
@@ -197,6 +189,8 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id: in
     lengths[symbols] = code_lengths(n)
     spark.createDataFrame([(int(s), int(lengths[s])) for s in symbols], "id long, bits int").coalesce(1).write.parquet(f"{path}/codes")
 
+    codes = canonical_codes(lengths)
+
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq, done = TaskContext.get().partitionId(), 0, 0
         held: list[tuple] = []
@@ -206,27 +200,24 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id: in
             nonlocal seq, done, size
             begin, marks = 0, []
             for _, _, bits, own in held:
-                marks.append(np.frombuffer(own, "<u4").astype("<u8") + np.uint64(8 * begin))
+                marks.append(own + 8 * begin)
                 begin += len(bits)
-            row = {"part": [part], "seq": [seq], "start_in_part": [done], "doc_ids": [[h[0] for h in held]], "doc_lens": [[h[1] for h in held]], "n_ids": [size], "bits": [b"".join(h[2] for h in held)], "checkpoints": [np.concatenate(marks).tobytes()]}
+            row = {"part": [part], "seq": [seq], "start_in_part": [done], "doc_ids": [[h[0] for h in held]], "doc_lens": [[h[1] for h in held]], "n_ids": [size], "bits": [b"".join(h[2] for h in held)], "checkpoints": [np.concatenate(marks).astype("<u8").tobytes()]}
             seq, done, size = seq + 1, done + size, 0
             held.clear()
             return pa.RecordBatch.from_pydict(row, schema=_BLOCK_TYPES)
 
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and size + row[1] > BLOCK_IDS:
-                    yield block()
-                held.append(row)
-                size += row[1]
+        for row in coded(batches, kind, codes, lengths):
+            if held and size + row[1] > BLOCK_IDS:
+                yield block()
+            held.append(row)
+            size += row[1]
         if held:
             yield block()
 
     files = max(1, int(n.sum()) // ids_per_file)
-    coded = coded_documents(ids, kind, canonical_codes(lengths), lengths)
-    # sampling the range bounds codes the documents once more; that moves less than shuffling plain ids
-    ranged = coded.repartitionByRange(files, "doc_id") if files > 1 else coded.coalesce(1)
-    ranged.sortWithinPartitions("doc_id", "n", "bits").mapInArrow(blocks, BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
+    ranged = ids.repartitionByRange(files, "doc_id") if files > 1 else ids.coalesce(1)
+    ranged.sortWithinPartitions("doc_id", "ids").mapInArrow(blocks, BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
 
 
 def read_ids(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
