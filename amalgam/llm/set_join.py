@@ -6,14 +6,15 @@ The join returns classes: every document with its set's size and the least doc_i
 1. Documents with equal sets form a class; one of them, the representative, goes on.
 2. *Tokens.* Sizes fall into bands so that linked sets lie in one band or in neighbours. For band pair
    beta, linked sets differ in at most H elements, so of H + 1 + e hash ranges at least 1 + e hold the
-   same elements in both. A set's tokens are the digests of its ranges; ranges of under two elements,
-   which tell little, are left out while there are at most e of them. Documents that merely share a
-   passage share hardly any token; very frequent shingles do no harm.
+   same elements in both. A set's tokens are the digests of its ranges; empty ranges are left out while
+   there are at most e of them, so a linked set shares ``need`` = 1 + e - (ranges left out) tokens at least.
+   A set that shares fewer tokens with all others together has no partner and leaves; then tokens
+   that only one set still has leave too. What merely shares a passage goes here.
 3. *Groups.* A set's group is led by the least set with which any of its tokens is shared; groups that
    are large are cut into chunks of bounded size.
 4. *Matrix.* For tokens that occur in several groups, the table (token, group) is each group's token
    union. A query's overlap with a group's union bounds how many tokens it can share with any member;
-   groups below 1 + e - (ranges left out) cannot hold a partner.
+   groups below ``need`` cannot hold a partner.
 5. Only qualifying groups, and each set's own, are opened: full sets are compared with an inverted index
    and exact intersections. A star of links per local component leaves each group, never all pairs.
 6. Components of the links, in the distributed graph.
@@ -67,7 +68,7 @@ class Bands:
         return (100 - self.percent) * (high + 100 * high // self.percent) // (100 + self.percent)
 
     def spare(self, beta: int) -> int:
-        return max(1, self.differ(beta) // 8)
+        return max(1, self.differ(beta) // 6)
 
 
 def set_identity(own: np.ndarray) -> bytes:
@@ -94,13 +95,13 @@ def set_tokens(own: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray, n
         edge = np.searchsorted(own, (np.arange(1, ranges, dtype=np.uint64) << np.uint64(32)) // np.uint64(ranges) << np.uint64(32))
         edge = np.concatenate([[0], edge, [len(own)]])
         digest = running[edge[1:]] - running[edge[:-1]]
-        strong = np.diff(edge) > 1
-        weak = ranges - int(strong.sum())
-        use = strong if weak <= spare else np.ones(ranges, bool)
+        filled = np.diff(edge) > 0
+        empty = ranges - int(filled.sum())
+        use = filled if empty <= spare else np.ones(ranges, bool)
         at = np.flatnonzero(use)
         found.append(mix(digest[at] ^ mix((at + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(beta + 1))))
         betas.append(np.full(len(at), beta, np.uint8))
-        needs.append(np.full(len(at), min(255, max(1, 1 + spare - weak)), np.uint8))
+        needs.append(np.full(len(at), min(255, max(1, 1 + spare - empty)), np.uint8))
     if not found:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint8), np.zeros(0, np.uint8)
     return np.concatenate(found), np.concatenate(betas), np.concatenate(needs)
@@ -168,11 +169,13 @@ def packed_tokens(docs: DataFrame, width: int, percent: int, buckets: int) -> Da
     return docs.select("text").mapInArrow(run, "bucket int, records binary")
 
 
-SHARED = "token long, node long, beta int, need int, leader long"
+SHARED = "token long, node long, beta int, need int"
+#: Rounds in which sets with too few shared tokens leave.
+PRUNINGS = 2
 
 
 def _shared(bucket: int, raw: list[bytes], settled: bool) -> pa.RecordBatch:
-    """The tokens among the records that two or more sets have, with the least such set."""
+    """The tokens among the records that two or more sets have."""
     record = np.frombuffer(b"".join(raw), RECORD)
     by = np.lexsort((record["node"], record["token"]))
     record = record[by]
@@ -182,15 +185,14 @@ def _shared(bucket: int, raw: list[bytes], settled: bool) -> pa.RecordBatch:
     begin = np.flatnonzero(~same)
     size = np.diff(np.append(begin, len(record)))
     keep = np.repeat((size > 1) | settled, size)
-    leader = np.repeat(record["node"][begin], size)[keep] if len(record) else np.zeros(0, np.int64)
     record = record[keep]
     token = record["token"].astype(np.int64) | np.int64(bucket) << 32
-    columns = [pa.array(token), pa.array(record["node"].astype(np.int64)), pa.array(record["beta"].astype(np.int32)), pa.array(record["need"].astype(np.int32)), pa.array(leader.astype(np.int64))]
-    return pa.RecordBatch.from_arrays(columns, ["token", "node", "beta", "need", "leader"])
+    columns = [pa.array(token), pa.array(record["node"].astype(np.int64)), pa.array(record["beta"].astype(np.int32)), pa.array(record["need"].astype(np.int32))]
+    return pa.RecordBatch.from_arrays(columns, ["token", "node", "beta", "need"])
 
 
 def shared_tokens(packed: DataFrame) -> DataFrame:
-    """token, node, beta, need, leader for tokens of two or more sets."""
+    """token, node, beta, need for tokens of two or more sets."""
 
     def gather(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
@@ -205,6 +207,16 @@ def shared_tokens(packed: DataFrame) -> DataFrame:
     return dealt.union(packed.where("bucket < 0").mapInArrow(settle, SHARED))
 
 
+def prune(shared: DataFrame) -> DataFrame:
+    """The rows of sets that share as many tokens as a partner needs, for tokens that several such sets have; with the
+    least of these as leader."""
+    shared = shared.select("token", "node", "beta", "need")
+    enough = shared.groupBy("node", "beta").agg(F.count(F.lit(1)).alias("tokens"), F.max("need").alias("least")).where("tokens >= least")
+    kept = shared.join(enough.select("node", "beta"), ["node", "beta"], "left_semi")
+    several = kept.groupBy("token").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader <> last")
+    return kept.join(several.select("token", "leader"), "token").select("token", "node", "beta", "need", "leader")
+
+
 def open_groups(rows: DataFrame, width: int, percent: int) -> DataFrame:
     """Links a, b (representatives) within (grp, lane) of ``rows`` (grp, lane, query, doc_id, text): members are
     compared with each other in lane 0, queries with members in their lane."""
@@ -317,8 +329,10 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85) -> Da
     found = materialize(profiles(docs, width), "join-profiles")
     classes = materialize(found.where("n_shingles > 0 and doc_id is not null").groupBy("identity").agg(F.min("doc_id").alias("doc_id"), F.first("node").alias("node"), F.first("n_shingles").alias("n")), "join-classes")
     total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    buckets = max(1, min(1 << 20, int(total * 0.45) // TOKENS_PER_BUCKET))
+    buckets = max(1, min(1 << 20, total // 2 // TOKENS_PER_BUCKET))
     shared = materialize(shared_tokens(packed_tokens(docs, width, percent, buckets)), "join-tokens")
+    for _ in range(PRUNINGS):
+        shared = materialize(prune(shared), "join-tokens")
     # groups, in chunks of bounded size
     led = shared.groupBy("node").agg(F.min("leader").alias("leader"))
     members = materialize(led.join(classes, "node"), "join-members")
