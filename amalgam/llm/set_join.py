@@ -47,7 +47,7 @@ TOKENS_PER_BUCKET = 1_000_000
 HOT_IN_SLICE = 64
 #: Shingles of a chunk of a group, and queries that one task compares with it.
 SHINGLES_PER_CHUNK, QUERIES_PER_TASK = 1_000_000, 20_000
-HITS_AT_ONCE = 4_000_000
+HITS_AT_ONCE = 500_000
 
 
 class Bands:
