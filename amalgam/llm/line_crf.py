@@ -206,7 +206,7 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = 8_000, max_lines:
 
     def featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 2):
+            for part in slices(batch, 2, 2 << 20):
                 x, n, _ = line_features([t or "" for t in part.column(2).to_pylist()])
                 begin = np.cumsum(n) - n
                 rows = [x[a : a + k].astype("<f4").tobytes() for a, k in zip(begin.tolist(), n.tolist(), strict=True)]
@@ -235,7 +235,7 @@ def quality_of(docs: DataFrame, model: LineCrf, out: str = "score") -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, at, 4 << 20):
+            for part in slices(batch, at, 2 << 20):
                 scores = model.scores([t or "" for t in part.column(at).to_pylist()])
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores, pa.float64())], [*part.schema.names, out])
 
