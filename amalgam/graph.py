@@ -15,7 +15,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
     star step hangs a node's neighbours on the least of them and no node ever gathers its neighbours in one
     row. Each round is written to the shared folder. Null ends and loops are ignored.
     """
-    links = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null")
+    links = materialize(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null"), "component-edges")
     nodes = links.select(F.col("u").alias("node")).union(links.select("v"))
     links = materialize(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "components")
     state = None

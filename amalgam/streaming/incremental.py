@@ -20,6 +20,7 @@ from ..operators import decide, entities as E
 from ..operators.blocking import PAIR, new_pairs, touching_old_rows
 from ..operators.model import Model, score_pairs
 from ..sinks import Staging, append_new, atomic_json, replace_rows
+from ..storage import materialize
 
 
 class ReplayError(ValueError):
@@ -47,7 +48,7 @@ def score_new(new: DataFrame, stored: DataFrame, model: Model, settings: Setting
 def link_batch(new: DataFrame, stored: DataFrame, entity_map: DataFrame, model: Model, settings: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
     """The batch's pairs and the entity map with it."""
     check_replay(new, stored)
-    pairs = score_new(new, stored, model, settings)
+    pairs = materialize(score_new(new, stored, model, settings), "new-pairs")
     edges = pairs.where("decision = 'MATCH'").select(*PAIR)
     return pairs, E.incremental_cluster(entity_map, new.select("record_id"), edges)
 
@@ -83,7 +84,7 @@ def update_records(stored: DataFrame, updates: DataFrame, entity_map: DataFrame,
     own = pairs.where("decision = 'MATCH'").select(*PAIR)
     ids = updates.select("record_id")
     rest = old_edges.join(ids.withColumnRenamed("record_id", PAIR[0]), PAIR[0], "left_anti").join(ids.withColumnRenamed("record_id", PAIR[1]), PAIR[1], "left_anti").select(*PAIR)
-    edges = rest.unionByName(own)
+    edges = materialize(rest.unionByName(own), "edges")
     return after, edges, E.recompute_touched(entity_map, ids, edges)
 
 
