@@ -89,13 +89,16 @@ def gather(values: np.ndarray, begin: np.ndarray, length: np.ndarray, groups: np
     return values[at], np.diff(np.concatenate([[0], stop])[groups])
 
 
+#: Letters that normalization and lower case leave single letters, and ASCII signs without the apostrophe.
+LETTER, SIGN = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]", r"[!-&(-/:-@\[-`{-~]"
+
+
 def spaced(chunks: pa.Array) -> pa.Array:
-    """The chunks with A-Z in lower case and a space between letters and other signs, where the tokenizer cuts anyway.
+    """The chunks with A-Z in lower case and a space between plain letters and signs, where the tokenizer cuts anyway.
 
     Left as they are: chunks that may hold a special token, a contraction, or a letter whose lower case depends on what follows.
     """
     keep = pc.match_substring_regex(chunks, "<[|]|'|\u03a3")
-    other = r"[^\p{L}\p{N}\p{M}\s]"
-    cut = pc.replace_substring_regex(pc.ascii_lower(chunks), rf"(\p{{L}})({other})", r"\1 \2")
-    cut = pc.replace_substring_regex(cut, rf"({other})(\p{{L}})", r"\1 \2")
+    cut = pc.replace_substring_regex(pc.ascii_lower(chunks), f"({LETTER})({SIGN})", r"\1 \2")
+    cut = pc.replace_substring_regex(cut, f"({SIGN})({LETTER})", r"\1 \2")
     return pc.if_else(keep, chunks, cut)
