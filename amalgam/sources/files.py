@@ -35,7 +35,7 @@ def read_csv_any(spark: SparkSession, path: str) -> DataFrame:
     first = spark.read.text(path).limit(1).collect()
     if not first:
         raise ValueError(f"{path} is empty")
-    broken = spark.read.text(path).where(F.col("value").contains("�")).limit(1).count()
+    broken = spark.read.text(path).where(~F.is_valid_utf8("value")).limit(1).count()
     header = first[0].value.lstrip("﻿")
     return spark.read.option("sep", sniff_separator(header)).option("header", True).option("encoding", ENCODINGS[1] if broken else ENCODINGS[0]).csv(path)
 
