@@ -23,6 +23,8 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: Pieces that are encoded as one text.
+JOINED = 500
 _encoders: dict[str, ChunkEncoder] = {}
 
 
@@ -41,6 +43,9 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(tokenizer_path(name)), most
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self._clear()
 
     def _clear(self) -> None:
@@ -48,15 +53,33 @@ class ChunkEncoder:
         self.ids = np.zeros(0, np.uint32)
         self.begin, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def _learn(self, chunks: list[str]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+    def _ids_of(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces one after another, and how many each has."""
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
         length = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter(chain.from_iterable(found), np.uint32, int(length.sum()))
-        at = len(self.place)
-        self.place.update(zip(chunks, range(at, at + len(chunks)), strict=True))
-        self.begin = np.concatenate([self.begin, len(self.ids) + np.cumsum(length) - length])
-        self.length = np.concatenate([self.length, length])
-        self.ids = np.concatenate([self.ids, flat])
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(length.sum())), length
+
+    def _plain_ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for pieces that are words to the tokenizer: many go into one text, and tokens that end words show where each stops."""
+        texts = [" ".join(pieces[i : i + JOINED]) for i in range(0, len(pieces), JOINED)]
+        ids, _ = self._ids_of(texts)
+        stop = np.flatnonzero(self.ends_word[ids]) + 1
+        if len(stop) != len(pieces):
+            return self._ids_of(pieces)
+        return ids, np.diff(stop, prepend=0)
+
+    def _learn(self, pieces: list[str]) -> None:
+        plain = pc.match_substring_regex(pa.array(pieces, pa.large_string()), f"^({LETTER}+|{SIGN}+)$").to_numpy(zero_copy_only=False)
+        for some, ids_of in ((plain, self._plain_ids), (~plain, self._ids_of)):
+            own = [pieces[i] for i in np.flatnonzero(some).tolist()]
+            if not own:
+                continue
+            flat, length = ids_of(own)
+            at = len(self.place)
+            self.place.update(zip(own, range(at, at + len(own)), strict=True))
+            self.begin = np.concatenate([self.begin, len(self.ids) + np.cumsum(length) - length])
+            self.length = np.concatenate([self.length, length])
+            self.ids = np.concatenate([self.ids, flat])
 
     def _lists(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Where the ids of each piece begin in ``self.ids``, and how many there are."""
