@@ -105,7 +105,7 @@ def test_sources(spark, tmp_path):
     rows = read_dataset(spark, [("b1", str(tmp_path / "a.csv")), ("b2", str(tmp_path / "b.csv"))]).orderBy("batch_no", "row_no").collect()
     assert [(r.batch_id, r.row_no, r.id) for r in rows] == [("b1", 1, "1"), ("b1", 2, "2"), ("b2", 1, "3")]
     assert [tuple(r) for r in parse_payload(spark, b"x;y\n1;2\n").collect()] == [("1", "2")]
-    assert sniff_separator("a:b:c") == ":" and sniff_separator("a,b") == "," and quoted("t") == '"splink_data"."t"'
+    assert sniff_separator("a:b:c") == ":" and sniff_separator("a,b") == "," and quoted("t") == '"linkage_data"."t"'
     with pytest.raises(ValueError):
         rename_columns(spark.createDataFrame([("1", "2")], "telp string, no_telp string"))
     assert inspect(["first_name", "x"])["unmapped"] == ["x"]
