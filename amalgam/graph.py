@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ranking import global_row_number
 from .storage import materialize
 
 
@@ -45,8 +46,6 @@ def component_ids(nodes: DataFrame, edges: DataFrame, node: str, prefix: str = "
     inside = edges.join(known.select(F.col(node).alias(a)), a, "left_semi").join(known.select(F.col(node).alias(b)), b, "left_semi")
     parts = connected_components(inside, a, b)
     full = known.join(parts, known[node] == parts["node"], "left").select(known[node], F.coalesce("component", known[node]).alias("__root"))
-    # a row per component goes through the one ordered window, not a row per node
-    roots = full.select("__root").distinct()
-    number = F.dense_rank().over(Window.orderBy("__root"))
-    named = roots.select("__root", F.format_string(f"{prefix}%0{width}d", number).alias("entity_id"))
+    roots = materialize(full.select("__root").distinct(), "roots")
+    named = global_row_number(roots, ["__root"], "__n").select("__root", F.format_string(f"{prefix}%0{width}d", "__n").alias("entity_id"))
     return full.join(named, "__root").select(node, "entity_id")

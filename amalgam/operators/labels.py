@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import MATCH_THRESHOLD, QUEUE_CAP, QUEUE_CAP_LOW, REVIEW_FIELDS
 from ..functions.text import label_of, pair_key
-from ..ranking import keep_last
+from ..ranking import keep_last, top_per_group
 from .blocking import PAIR, attach, rule_pairs
 
 FLAGS = {"agree_email": ("email_std",), "agree_phone": ("phone_std",), "agree_dob": ("dob_std",), "agree_name": ("first_name_std", "last_name_std"), "agree_city": ("city_std",)}
@@ -58,8 +58,10 @@ def review_strata(scored: DataFrame, silver_pairs: DataFrame, records: DataFrame
 def review_queue(scored: DataFrame, silver_pairs: DataFrame, records: DataFrame, cap: int = QUEUE_CAP, low: int = QUEUE_CAP_LOW) -> DataFrame:
     """Of each stratum the pairs with the least md5, up to its cap, with both sides' fields and empty label columns."""
     strata = review_strata(scored, silver_pairs, records)
-    turn = F.row_number().over(Window.partitionBy("stratum").orderBy(F.md5(pair_key(F.col(PAIR[0]), F.col(PAIR[1])))))
-    some = strata.withColumn("__turn", turn).where(F.col("__turn") <= F.when(F.col("stratum") == "unlabelled_same_email", low).otherwise(cap)).drop("__turn", "label")
+    by_hash = [F.md5(pair_key(F.col(PAIR[0]), F.col(PAIR[1])))]
+    is_low = F.col("stratum") == "unlabelled_same_email"
+    # a fixed limit per stratum lets Spark cut each stratum before the shuffle
+    some = top_per_group(strata.where(~is_low), ["stratum"], by_hash, cap).unionByName(top_per_group(strata.where(is_low), ["stratum"], by_hash, low)).drop("label")
     full = attach(some, records, REVIEW_FIELDS)
     return full.withColumns({"label": F.lit(None).cast("string"), "review_status": F.lit("pending"), "reviewer": F.lit(None).cast("string"), "reviewer_note": F.lit(None).cast("string")})
 

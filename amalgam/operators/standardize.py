@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEVICE_ALIASES, PHONE_ALIASES, Settings
@@ -101,4 +101,6 @@ def standardize(df: DataFrame, settings: Settings = Settings(), order: list[str]
 
 def add_sequence(df: DataFrame, order: list[str], out: str = "seq") -> DataFrame:
     """A sequence number for keep-last rules, explicit as tables have no order."""
-    return df.withColumn(out, F.row_number().over(Window.orderBy(*order)))
+    from ..ranking import global_row_number
+
+    return global_row_number(df, order, out)
