@@ -12,23 +12,27 @@ from pyspark.sql.types import DoubleType
 
 def jaro_winkler(a: str, b: str) -> float:
     """Jaro similarity; above 0.7 raised by a tenth of what is missing for each common leading letter, four at most."""
-    if a == b:
-        return 1.0
     la, lb = len(a), len(b)
     if not la or not lb:
         return 0.0
-    reach = max(la, lb) // 2 - 1
-    used, mine = [False] * lb, []
+    if a == b:
+        return 1.0
+    reach = max(0, max(la, lb) // 2 - 1)
+    where: dict[str, int] = {}
+    for j, ch in enumerate(b):
+        where[ch] = where.get(ch, 0) | 1 << j
+    free, mine = (1 << lb) - 1, []
     for i, ch in enumerate(a):
-        for j in range(max(0, i - reach), min(lb, i + reach + 1)):
-            if not used[j] and b[j] == ch:
-                used[j] = True
-                mine.append(ch)
-                break
+        near = where.get(ch, 0) & free & ((1 << i + reach + 1) - 1)
+        if i > reach:
+            near = near >> i - reach << i - reach
+        if near:
+            free ^= near & -near  # the first place that is left
+            mine.append(ch)
     m = len(mine)
     if not m:
         return 0.0
-    theirs = [b[j] for j in range(lb) if used[j]]
+    theirs = [ch for j, ch in enumerate(b) if not free >> j & 1]
     swapped = sum(x != y for x, y in zip(mine, theirs, strict=True)) // 2
     jaro = (m / la + m / lb + (m - swapped) / m) / 3
     if jaro <= 0.7:

@@ -95,7 +95,7 @@ def contact_comparison() -> Comparison:
         Level(1, (_l("phone_std") != _r("phone_std")) & (F.col("jw_phone") >= 0.90), 0.40),
         Level(0, None, ELSE_FLOORS["contact"], True),
     ]
-    return Comparison("contact", null, levels, ("email_std", "phone_std"), {"jw_email": (_unless(either, _l("email_std")), _r("email_std")), "jw_phone": (_unless(either, _l("phone_std")), _r("phone_std"))})
+    return Comparison("contact", null, levels, ("email_std", "phone_std"), {"jw_email": (_unless(either, _l("email_std")), _r("email_std")), "jw_phone": (_unless(either | F.coalesce(F.col("jw_email") >= 0.85, F.lit(False)), _l("phone_std")), _r("phone_std"))})
 
 
 def location_comparison() -> Comparison:
