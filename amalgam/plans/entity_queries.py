@@ -67,6 +67,12 @@ def graph_components(spark, d):
     return connected_components(e)
 
 
+@query(None)
+def graph_components_all(spark, d):
+    """Components over the edges of all events; the recursive SQL of ``graph_components`` takes a fiftieth of them."""
+    return connected_components(table(spark, d, "events").select(F.col("user_id").alias("a"), (F.col("user_id") + F.col("event_id") % 7 * 13).alias("b")))
+
+
 _GUARD = f"""{SCORED_CTE}, dec AS (SELECT record_id_l, record_id_r, {DECISION_SQL} AS decision FROM scored), edges AS (SELECT record_id_l AS a, record_id_r AS b FROM dec WHERE decision = 'MATCH'), {components_cte("edges", "std")},
     emap AS (SELECT record_id, root, 'ent_' || printf('%06d', dense_rank() OVER (ORDER BY root)) AS entity_id FROM comp), s AS (SELECT root, count(*) AS n FROM emap GROUP BY 1),
     bad AS (SELECT DISTINCT a.root FROM dec JOIN emap a ON a.record_id = record_id_l JOIN emap b ON b.record_id = record_id_r WHERE decision = 'NON_MATCH' AND a.root = b.root)

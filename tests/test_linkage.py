@@ -184,3 +184,23 @@ def test_order_and_numbers(spark):
         resolve_dayfirst(spark.createDataFrame([("01/02/2000",)], "dob string"), "dob")
     got = global_row_number(spark.range(1000).select((F.lit(1000) - F.col("id")).alias("v")), ["v"], "n").orderBy("v").collect()
     assert [r.n for r in got] == list(range(1, 1001))
+
+
+def test_graph_components_take_all_events(spark, tmp_path):
+    from amalgam.plans.queries import QUERIES
+
+    events = [(i, i * 7919 % 900) for i in range(1, 400)]
+    spark.createDataFrame(events, "event_id long, user_id long").write.parquet(f"{tmp_path}/events.parquet")
+    root = {}
+
+    def find(x):
+        root.setdefault(x, x)
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for event, user in events:
+        a, b = sorted((find(user), find(user + event % 7 * 13)))
+        root[b] = a
+    got = {r.node: r.component for r in QUERIES["graph_components_all"](spark, str(tmp_path)).collect()}
+    assert got == {x: find(x) for x in root} and len(set(got.values())) < len(got) / 2
