@@ -287,6 +287,23 @@ def test_lm(spark, docs, empty):
     assert L.Network().log_prob(np.full((1, 4), L.PAD, np.int32), np.zeros(1, np.int64)).shape == (1,)
 
 
+def test_lm_rare_words(spark):
+    texts = ["a a a a b b b c c d", "c d e E f", "a c d", None, "", "a c d"]
+    df = spark.createDataFrame(list(zip([1, 2, None, 4, 5, None], texts)), "doc_id long, text string")
+    counts, net = {"a": 6, "b": 3, "c": 5, "d": 4, "e": 2, "f": 1}, L.Network()
+    vocabulary = L.build_vocabulary(df, 2)
+    assert vocabulary.words == ["a", "c"] and {r.word: r.log_share for r in vocabulary.rare.collect()} == pytest.approx({w: np.log(counts[w] / 10) for w in "bdef"})
+    want = []
+    for doc, text in zip([1, 2, None, 4, 5, None], texts):
+        own = (text or "").lower().split()
+        e = L.encode(L.pa.array([text]), vocabulary)
+        share = [vocabulary.log_share["ac".index(w)] if w in "ac" else np.log(counts[w] / 10) for w in own]
+        want.append((doc or 0, len(own), round(float(net.log_prob(e.windows(), e.classes).sum() + sum(share)), 4)))
+    got = L.score(df, vocabulary, net).collect()
+    assert sorted((r.doc_id or 0, r.n_tokens, round(r.log_prob, 4)) for r in got) == sorted(want)
+    assert all((r.mean_log_prob is None) == (r.n_tokens == 0) for r in got)
+
+
 def brute_revisits(rows):
     out = {}
     for r in rows:
