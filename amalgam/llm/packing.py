@@ -64,18 +64,15 @@ def optimal_buckets(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> li
     return bounds[::-1]
 
 
-def pack(docs: DataFrame, buckets: int = 16, budget: int = 65_536, max_lengths: int = 262_144) -> DataFrame:
+def pack(docs: DataFrame, buckets: int = 16, budget: int = 65_536) -> DataFrame:
     """doc_id, n_tokens, bucket, bucket_len, batch, slot of every row of ``docs`` (doc_id, text).
 
-    ``n_tokens`` counts words. The driver holds the histogram: a row per distinct length. If there are
-    more than ``max_lengths``, lengths are rounded up to a common step, which only adds padding.
+    ``n_tokens`` counts words. The driver holds the histogram of exact lengths: a row per distinct length,
+    of which t tokens in all have about the square root of 2 t at most.
     """
     spark = docs.sparkSession
     base = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), word_count().alias("n_tokens")), "pack-lengths")
-    stats = base.agg(F.count(F.lit(1)).alias("n"), F.max("n_tokens").alias("most")).first()
-    step = max(1, -(-(stats.most or 0) // max_lengths))
-    rounded = (F.ceil(F.col("n_tokens") / F.lit(step)) * F.lit(step)).cast("long") if step > 1 else F.col("n_tokens")
-    histogram = base.groupBy(rounded.alias("length")).count().collect()
+    histogram = base.groupBy(F.col("n_tokens").alias("length")).count().collect()
     bounds = optimal_buckets(np.array([r["length"] for r in histogram], np.int64), np.array([r["count"] for r in histogram], np.int64), buckets)
     if not bounds:
         return spark.createDataFrame([], "doc_id long, n_tokens long, bucket int, bucket_len long, batch long, slot int")
@@ -86,7 +83,7 @@ def pack(docs: DataFrame, buckets: int = 16, budget: int = 65_536, max_lengths:
         sizes[np.searchsorted(bounds, r["length"])] += r["count"]
     first = np.concatenate([[0], np.cumsum([-(-n // p) for n, p in zip(sizes.tolist(), per_batch, strict=True)])])
     pick = lambda values: F.element_at(F.array(*[F.lit(int(v)).cast("long") for v in values]), F.col("bucket") + 1)
-    numbered = gapless_index(base.withColumn("bucket", bucket.cast("int")), ["bucket"], ["doc_id", "n_tokens"], "__at", stats.n)
+    numbered = gapless_index(base.withColumn("bucket", bucket.cast("int")), ["bucket"], ["doc_id", "n_tokens"], "__at", sum(r["count"] for r in histogram))
     return numbered.select(
         "doc_id",
         "n_tokens",

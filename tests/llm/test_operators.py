@@ -185,6 +185,15 @@ def test_packing(docs, empty, rows):
     assert P.pack(empty).count() == 0
 
 
+def test_packing_beside_a_very_long_text(spark):
+    lengths = [1, 1, 2, 3, 3, 5, 8, 9, 600_001]
+    df = spark.createDataFrame(list(enumerate("a " * n for n in lengths)), "doc_id long, text string")
+    got = P.pack(df, buckets=4).collect()
+    exact = sorted(set(lengths))
+    assert sum(r.bucket_len - r.n_tokens for r in got) == brute_padding(exact, [lengths.count(x) for x in exact], 4)
+    assert sorted(r.n_tokens for r in got) == lengths
+
+
 def test_gapless(spark):
     df = materialize(spark.range(5000).select((F.col("id") % 3).alias("k"), "id"), "t")
     got = gapless_index(df, ["k"], ["id"], "n", 500_000).groupBy("k").agg(F.min("n"), F.max("n"), F.count_distinct("n"), F.count("n")).collect()
