@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
@@ -13,6 +14,7 @@ from ..graph import connected_components
 from ..storage import materialize
 from .blocking import PAIR
 from .evaluate import confusion
+from .labels import FLAGS, agreement_flags
 
 
 def folds(pairs: DataFrame, n: int = 2) -> DataFrame:
@@ -21,18 +23,33 @@ def folds(pairs: DataFrame, n: int = 2) -> DataFrame:
     return pairs.join(parts.select(F.col("node").alias(PAIR[0]), "component"), PAIR[0]).withColumn("fold", F.pmod(F.xxhash64("component"), F.lit(n)).cast("int")).drop("component")
 
 
-def best_threshold(scored: DataFrame, score: str, steps: int = 20) -> float:
-    found = confusion(scored, F.col("y") > 0, F.col(score), [k / steps for k in range(1, steps)]).orderBy(F.desc("f1"), "threshold").first()
-    return float(found["threshold"]) if found else 0.5
+def best_threshold(scored: DataFrame, score: str) -> float:
+    """The distinct score with the best F1, the least of them on ties; 0.5 without scores.
 
+    The driver holds the histogram of scores, which has no more rows than there are distinct vectors of features.
+    """
+    s = F.col(score).cast("double").alias("s")
+    found = sorted(scored.where(F.col(score).isNotNull() & F.col("y").isNotNull()).groupBy(s).agg(F.count_if(F.col("y") > 0).alias("hits"), F.count(F.lit(1)).alias("n")).collect(), key=lambda r: r.s)
+    if not found:
+        return 0.5
+    hits, n = (np.array([r[c] for r in found], np.int64) for c in ("hits", "n"))
+    tp, chosen = (np.cumsum(x[::-1])[::-1] for x in (hits, n))
+    return float(found[int(np.argmax(2 * tp / (chosen + hits.sum())))].s)
 
-def shadow_scores(pairs: DataFrame, truth: DataFrame, n_folds: int = 2) -> DataFrame:
+
+def with_agreements(pairs: DataFrame, records: DataFrame) -> DataFrame:
+    """Adds the agreement flags of each pair as 1 or 0; a missing side does not agree."""
+    flags = agreement_flags(pairs, records).select(*PAIR, *[F.coalesce(F.col(c), F.lit(False)).cast("int").alias(c) for c in FLAGS])
+    return pairs.join(flags, PAIR)
+
+
+def shadow_scores(pairs: DataFrame, truth: DataFrame, records: DataFrame, n_folds: int = 2) -> DataFrame:
     """model, fold, threshold, pr_auc, tp, fp, fn, tn of each classifier on each fold it has not seen."""
     spark = pairs.sparkSession
-    data = folds(pairs, n_folds).join(truth.select(*PAIR, F.lit(1.0).alias("__t")), PAIR, "left").withColumn("y", F.coalesce("__t", F.lit(0.0))).drop("__t")
+    data = folds(with_agreements(pairs, records), n_folds).join(truth.select(*PAIR, F.lit(1.0).alias("__t")), PAIR, "left").withColumn("y", F.coalesce("__t", F.lit(0.0))).drop("__t")
     gammas = [c for c in pairs.columns if c.startswith("gamma_")]
     data = data.withColumn("log_p", F.log10(F.greatest("match_probability", F.lit(1e-12))))
-    data = VectorAssembler(inputCols=["log_p", "match_weight"], outputCol="two").transform(VectorAssembler(inputCols=gammas, outputCol="levels").transform(data))
+    data = VectorAssembler(inputCols=["log_p", "match_weight"], outputCol="two").transform(VectorAssembler(inputCols=["log_p", "match_weight", *gammas, *FLAGS], outputCol="levels").transform(data))
     data = materialize(data.select("y", "fold", "match_probability", "two", "levels"), "shadow")
     area = BinaryClassificationEvaluator(labelCol="y", rawPredictionCol="s", metricName="areaUnderPR")
     rows = []

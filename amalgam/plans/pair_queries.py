@@ -270,6 +270,5 @@ def shadow_models(spark, d):
     from ..operators.shadow import shadow_scores
 
     records = standardized(spark, d)
-    telling = [(n, RULES[n]) for n in ("email_exact", "phone_exact", "dob_exact", "city_state_dob_year")]
-    pairs = model.score_pairs(blocking.or_join(records, telling).select(*PAIR), records, FIXED)
-    return shadow_scores(materialize(pairs, "shadow-pairs"), evaluate.device_truth(records))
+    pairs = model.score_pairs(blocking.or_join(records, BLOCKING_RULES).select(*PAIR), records, FIXED)
+    return shadow_scores(materialize(pairs, "shadow-pairs"), evaluate.device_truth(records), records)

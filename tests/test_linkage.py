@@ -204,3 +204,22 @@ def test_graph_components_take_all_events(spark, tmp_path):
         root[b] = a
     got = {r.node: r.component for r in QUERIES["graph_components_all"](spark, str(tmp_path)).collect()}
     assert got == {x: find(x) for x in root} and len(set(got.values())) < len(got) / 2
+
+
+def test_shadow_threshold_and_features(spark):
+    import random
+
+    from amalgam.operators import shadow
+
+    rng = random.Random(3)
+    for top in (1.0, 0.02):
+        rows = [(float(rng.random() < s / top), s) for s in (round(rng.random() ** 0.05 * top, 3) for _ in range(300))]
+        f1 = lambda t: 2 * sum(y for y, s in rows if s >= t) / (sum(s >= t for _, s in rows) + sum(y for y, _ in rows))
+        want = max(sorted({s for _, s in rows}), key=f1)
+        assert shadow.best_threshold(spark.createDataFrame(rows, "y double, s double"), "s") == want
+    assert shadow.best_threshold(spark.createDataFrame([(0.0, 0.991), (1.0, 0.999)], "y double, s double"), "s") == 0.999
+    records = spark.createDataFrame([("a", "x", None), ("b", "x", None), ("c", "y", "1")], "record_id string, email_std string, phone_std string")
+    for c in sorted({c for columns in labels.FLAGS.values() for c in columns} - {"email_std", "phone_std"}):
+        records = records.withColumn(c, F.lit("same"))
+    got = {r.record_id_r: (r.agree_email, r.agree_phone, r.agree_name) for r in shadow.with_agreements(spark.createDataFrame([("a", "b"), ("a", "c")], PAIRS), records).collect()}
+    assert got == {"b": (1, 0, 1), "c": (0, 0, 1)}
