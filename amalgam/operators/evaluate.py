@@ -201,6 +201,13 @@ def recovery(pairs: DataFrame, edges: DataFrame, ops: str = "ops") -> DataFrame:
     return j.select("hit", F.explode(F.split(ops, ";")).alias("op")).groupBy("op").agg(F.count(F.lit(1)).alias("pairs"), F.count("hit").alias("found"))
 
 
+def recovery_by_count(pairs: DataFrame, scored: DataFrame, threshold: float = MATCH_THRESHOLD) -> DataFrame:
+    """damaged, pairs, recovered, never_scored: damaged copies per number of damaged fields."""
+    j = pairs.join(scored.select(*PAIR, "match_probability"), PAIR, "left")
+    p = F.col("match_probability")
+    return j.groupBy("damaged").agg(F.count(F.lit(1)).alias("pairs"), F.count_if(p >= threshold).alias("recovered"), F.count_if(p.isNull()).alias("never_scored"))
+
+
 def canary(entities_a: DataFrame, entities_b: DataFrame) -> DataFrame:
     """arm, entities, largest_entity, entities_size_ge2, records_in_multi of two arms."""
     def stats(e: DataFrame, arm: str) -> DataFrame:

@@ -39,22 +39,34 @@ def corrupt(value: Column, kind: str, key: Column) -> Column:
     raise ValueError(f"no damage named {kind}")
 
 
-KINDS = {"first_name_std": ("double_letter", "drop_letter", "swap_letters", "uppercase"), "phone_std": ("phone_drop_digit",), "dob_std": ("dob_year_shift", "dob_swap_day_month")}
+#: Per field the kinds of damage and the share of copies that get one.
+KINDS = {
+    "last_name_std": (("double_letter", "drop_letter", "swap_letters"), 1.0),
+    "first_name_std": (("uppercase", "drop_letter"), 1.0),
+    "email_std": (("drop_letter", "swap_letters"), 1.0),
+    "phone_std": (("phone_drop_digit",), 1.0),
+    "address_std": (("drop_letter", "swap_letters"), 0.75),
+    "dob_std": (("dob_year_shift", "dob_swap_day_month"), 0.5),
+}
 
 
 def damaged_copies(records: DataFrame, fields: dict = KINDS, prefix: str = "dmg_") -> DataFrame:
-    """A copy of every record with one kind of damage in each of ``fields``; copy_of and ops tell which."""
+    """A copy of every record with damage in ``fields``; copy_of, ops ("field:kind;..." of what changed, or "none") and damaged (their number)."""
     out = records.withColumn("copy_of", F.col("record_id")).withColumn("record_id", F.concat(F.lit(prefix), "record_id"))
-    ops = []
-    for field, kinds in fields.items():
+    ops, changes = [], []
+    for field, (kinds, share) in fields.items():
         pick = F.pmod(F.xxhash64(F.lit(field), "copy_of"), F.lit(len(kinds)))
+        chosen = F.pmod(F.xxhash64(F.lit("share"), F.lit(field), "copy_of"), F.lit(1000)) < round(share * 1000)
         value, name = F.col(field), F.lit(None).cast("string")
         for k, kind in enumerate(kinds):
-            value = F.when(pick == k, corrupt(F.col(field), kind, F.col("copy_of"))).otherwise(value)
-            name = F.when(pick == k, F.lit(kind)).otherwise(name)
-        out = out.withColumn(f"__new_{field}", value)
-        ops.append(F.when(F.col(field).isNotNull(), name))
-    out = out.withColumn("ops", F.concat_ws(";", *ops))
+            value = F.when(chosen & (pick == k), corrupt(F.col(field), kind, F.col("copy_of"))).otherwise(value)
+            name = F.when(chosen & (pick == k), F.lit(kind)).otherwise(name)
+        changed = F.coalesce((value != F.col(field)) & (value != ""), F.lit(False))
+        out = out.withColumn(f"__new_{field}", F.when(changed, value).otherwise(F.col(field)))
+        skipped = F.when(name == "dob_swap_day_month", F.lit(f"{field}:swap_skipped_unambiguous"))
+        ops.append(F.when(changed, F.concat(F.lit(f"{field}:"), name)).otherwise(skipped))
+        changes.append(changed.cast("int"))
+    out = out.withColumn("ops", F.concat_ws(";", *ops)).withColumn("ops", F.when(F.col("ops") == "", "none").otherwise(F.col("ops"))).withColumn("damaged", sum(changes))
     return out.withColumns({f: F.col(f"__new_{f}") for f in fields}).drop(*[f"__new_{f}" for f in fields])
 
 

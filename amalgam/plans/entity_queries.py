@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import sinks
-from ..config import MASTER_FIELDS, SWEEP
+from ..config import BLOCKING_RULES, MASTER_FIELDS, MATCH_THRESHOLD, SWEEP
 from ..crm import standardized
 from ..functions import text as T
 from ..graph import connected_components
-from ..operators import blocking, entities, evaluate, labels, stress, survivorship
+from ..operators import blocking, entities, evaluate, labels, model, stress, survivorship
+from ..operators.standardize import blocking_keys
 from ..ranking import keep_last
 from ..sources import database, serving
 from ..storage import materialize
 from ..streaming import incremental
-from .pair_queries import DECISION_SQL, FLAGS_SQL, SCORED_CTE, SILVER_CTE, TRUTH_CTE, scored_pairs
+from .pair_queries import DECISION_SQL, FIXED, FLAGS_SQL, SCORED_CTE, SILVER_CTE, TRUTH_CTE, scored_pairs
 from .registry import components_cte, pairs_cte, query, rule_sql, std, table
 
 PAIR = blocking.PAIR
@@ -221,17 +222,27 @@ def cross_batch(spark, d):
     return evaluate.cross_batch(simple_edges(records), evaluate.device_truth(records), "rec_001000")
 
 
-@query(None)
-def recovery_by_corruption(spark, d):
-    """How many damaged copies find their original by the blocking rules, per damage."""
+def _damaged(spark, d):
+    """Damaged copies with their originals, and those of these pairs that the blocking rules make, scored."""
     records = materialize(standardized(spark, d), "q-records")
     copies = materialize(stress.damaged_copies(records), "q-copies")
-    both = records.unionByName(copies.select(records.columns))
-    from ..operators.standardize import blocking_keys
+    both = materialize(blocking_keys(records.unionByName(copies.select(records.columns))), "q-both")
+    made = copies.select(F.least("record_id", "copy_of").alias(PAIR[0]), F.greatest("record_id", "copy_of").alias(PAIR[1]), "ops", "damaged")
+    wanted = blocking.or_join(both, BLOCKING_RULES).select(*PAIR).join(made.select(*PAIR), PAIR, "left_semi")
+    return made, materialize(model.score_pairs(wanted, both, FIXED), "q-damaged")
+
+
+@query(None)
+def recovery_by_corruption(spark, d):
+    """How many damaged copies match their original by the model, per damage."""
+    made, scored = _damaged(spark, d)
+    return evaluate.recovery(made.where("ops <> 'none'"), scored.where(F.col("match_probability") >= MATCH_THRESHOLD))
 
-    both = blocking_keys(both)
-    made = copies.select(F.least("record_id", "copy_of").alias(PAIR[0]), F.greatest("record_id", "copy_of").alias(PAIR[1]), "ops")
-    return evaluate.recovery(made, blocking.or_join(both, (("email", ("email_std",)), ("phone_prefix", ("phone_pre7",)), ("dob", ("dob_std", "last_name_std")))))
+
+@query(None)
+def recovery_by_damaged_fields(spark, d):
+    """The same per number of damaged fields."""
+    return evaluate.recovery_by_count(*_damaged(spark, d))
 
 
 # Incremental runs: records of the last tenth of the ids are new.

@@ -223,3 +223,21 @@ def test_shadow_threshold_and_features(spark):
         records = records.withColumn(c, F.lit("same"))
     got = {r.record_id_r: (r.agree_email, r.agree_phone, r.agree_name) for r in shadow.with_agreements(spark.createDataFrame([("a", "b"), ("a", "c")], PAIRS), records).collect()}
     assert got == {"b": (1, 0, 1), "c": (0, 0, 1)}
+
+
+def test_recovery_of_damaged_copies(spark):
+    names = list(stress.KINDS)
+    rows = [(f"r{i:03d}", "santoso", "anna", f"anna{i}@example.com", f"0812345{i:04d}", "merdeka 12", "1988-04-25") for i in range(200)]
+    rows.append(("none", None, None, None, None, None, None))
+    df = spark.createDataFrame(rows, "record_id string, " + ", ".join(f"{c} string" for c in names))
+    old = {r[0]: r[1:] for r in rows}
+    copies = stress.damaged_copies(df).collect()
+    assert len(copies) == len(rows)
+    for r in copies:
+        changed = [c for c, v in zip(names, old[r.copy_of]) if r[c] != v]
+        assert r.damaged == len(changed) and [o.split(":")[0] for o in r.ops.split(";") if "skipped" not in o and o != "none"] == changed
+    assert {o.split(":")[0] for r in copies for o in r.ops.split(";")} >= set(names)
+    assert sum(r.email_std != old[r.copy_of][2] for r in copies) > 150
+    made = spark.createDataFrame([("a", "b", 1), ("c", "d", 2), ("e", "f", 2)], PAIRS + ", damaged int")
+    scored = spark.createDataFrame([("a", "b", 0.84), ("c", "d", 0.3)], PAIRS + ", match_probability double")
+    assert {tuple(r) for r in evaluate.recovery_by_count(made, scored).collect()} == {(1, 1, 1, 0), (2, 2, 0, 1)}
