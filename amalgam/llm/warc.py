@@ -7,8 +7,10 @@ runs within (URL, span), and each span takes over the last response of the spans
 
 Defined results: a null url is a URL of its own; null times come first and find no earlier response; of
 responses at one time the largest record_id counts as the latest; records at the same time are not
-earlier; no validator at all contradicts nothing; repeated rows are resolved each; an empty table gives
-an empty result; extra columns pass through unless their names begin with ``__``.
+earlier; header names are compared in lower case, and of names that differ in case only the last counts;
+null headers are none; no validator at all contradicts nothing; repeated rows are resolved each; an empty
+table gives an empty result; extra columns pass through, but an input column named like one of the result
+(url_key, outcome, source_id, source_digest, merged) gives way to it.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import chunks_for, materialize
+from .common import all_of, chunks_for, materialize
 
 #: Header fields that a 304 response does not change in the stored response (RFC 9111, 3.2) or that belong to the connection.
 KEPT = ("connection", "content-encoding", "content-length", "content-range", "content-type", "keep-alive", "proxy-authenticate", "te", "trailer", "transfer-encoding", "upgrade")
@@ -33,55 +35,69 @@ def canonical_url(url: Column) -> Column:
     return F.concat(host, F.regexp_replace(rest, r"/+(\?|$)", "$1"))
 
 
+def lower_headers(headers: Column) -> Column:
+    """Header fields with names in lower case, the last of equal names; null as no field."""
+    entries = F.coalesce(F.map_entries(headers), F.array().cast("array<struct<key:string,value:string>>"))
+    names = F.transform(entries, lambda e: F.lower(e["key"]))
+    backward = F.reverse(names)
+    last = F.filter(entries, lambda e, i: F.size(names) - F.array_position(backward, F.lower(e["key"])) == i)
+    return F.map_from_entries(F.transform(last, lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value"))))
+
+
 def merged_headers(stored: Column, fresh: Column) -> Column:
-    """The stored fields with those of the 304 response put over them, field names in lower case."""
-    lower = lambda m: F.transform_keys(m, lambda k, _: F.lower(k))
-    allowed = F.map_filter(lower(fresh), lambda k, _: ~k.isin(*KEPT))
-    own = F.map_filter(lower(stored), lambda k, _: ~F.array_contains(F.map_keys(allowed), k))
+    """The stored fields with those of the 304 response put over them; both with names in lower case."""
+    allowed = F.map_filter(fresh, lambda k, _: ~k.isin(*KEPT))
+    own = F.map_filter(stored, lambda k, _: ~F.array_contains(F.map_keys(allowed), k))
     return F.map_concat(own, allowed)
 
 
+RESULT = ("url_key", "outcome", "source_id", "source_digest", "merged")
+
+
 def resolve_revisits(records: DataFrame) -> DataFrame:
-    """All rows of ``records`` (record_id long, ts long, kind 'response' or 'revisit', url, headers map with
-    lower-case names, digest) with url_key, outcome, source_id, source_digest, merged (map)."""
-    base = materialize(records.withColumn("url_key", canonical_url(F.col("url"))), "warc-records")
+    """All rows of ``records`` (record_id long, ts long, kind 'response' or 'revisit', url, headers map, digest) with
+    url_key, outcome, source_id, source_digest, merged (map with lower-case names)."""
+    passed = [c for c in records.columns if c.lower() not in RESULT]
+    row = F.struct(*[c for c, n in zip(all_of(records), records.columns, strict=True) if n in passed]).alias("row")
+    base = materialize(records.select(row, "record_id", "ts", "kind", "digest", lower_headers(F.col("headers")).alias("headers"), canonical_url(F.col("url")).alias("url_key")), "warc-records")
     low, high, rows = base.agg(F.min("ts"), F.max("ts"), F.count(F.lit(1))).first()
     spans = chunks_for(rows)
     width = max(1, -(-((high or 0) - (low or 0) + 1) // spans))
-    base = base.withColumn("__span", F.coalesce(F.floor((F.col("ts") - F.lit(low or 0)) / F.lit(width)), F.lit(-1)))
+    base = base.withColumn("span", F.coalesce(F.floor((F.col("ts") - F.lit(low or 0)) / F.lit(width)), F.lit(-1)))
     full = F.when((F.col("kind") == "response") & F.col("ts").isNotNull(), F.struct("ts", "record_id", "digest", "headers"))
     order = ["ts", F.col("kind") == "response", "record_id"]
-    inside = Window.partitionBy("url_key", "__span").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    lasts = base.where("kind = 'response'").groupBy("url_key", "__span").agg(F.max_by(full, F.struct("ts", "record_id")).alias("__last"))
-    spans_of = base.select("url_key", "__span").distinct()
-    before = Window.partitionBy("__key").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("url_key", "span").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    lasts = base.where("kind = 'response'").groupBy("url_key", "span").agg(F.max_by(full, F.struct("ts", "record_id")).alias("last"))
+    spans_of = base.select("url_key", "span").distinct()
+    before = Window.partitionBy("carried_key").orderBy("carried_span").rowsBetween(Window.unboundedPreceding, -1)
     carried = (
-        spans_of.join(lasts, spans_of.url_key.eqNullSafe(lasts.url_key) & (spans_of["__span"] == lasts["__span"]), "left")
-        .select(spans_of.url_key.alias("__key"), spans_of["__span"].alias("__at"), "__last")
-        .withColumn("__carried", F.last("__last", ignorenulls=True).over(before))
-        .drop("__last")
+        spans_of.join(lasts, spans_of.url_key.eqNullSafe(lasts.url_key) & (spans_of["span"] == lasts["span"]), "left")
+        .select(spans_of.url_key.alias("carried_key"), spans_of["span"].alias("carried_span"), "last")
+        .withColumn("carried", F.last("last", ignorenulls=True).over(before))
+        .drop("last")
     )
-    near = base.withColumn("__near", F.last(full, ignorenulls=True).over(inside))
-    found = near.join(carried, near.url_key.eqNullSafe(F.col("__key")) & (F.col("__span") == F.col("__at")), "left").withColumn("__full", F.coalesce("__near", "__carried"))
+    near = base.withColumn("near", F.last(full, ignorenulls=True).over(inside))
+    found = near.join(carried, near.url_key.eqNullSafe(F.col("carried_key")) & (F.col("span") == F.col("carried_span")), "left").withColumn("full", F.coalesce("near", "carried"))
     revisit = F.col("kind") == "revisit"
     own = lambda name: F.col("headers")[name]
-    theirs = lambda name: F.col("__full.headers")[name]
+    theirs = lambda name: F.col("full.headers")[name]
     differs = F.when(own("etag").isNotNull() & theirs("etag").isNotNull(), own("etag") != theirs("etag")).when(
         own("last-modified").isNotNull() & theirs("last-modified").isNotNull(), own("last-modified") != theirs("last-modified")
     )
     outcome = (
         F.when(~revisit, "full")
-        .when(F.col("ts").isNull() | F.col("__full").isNull(), "no earlier response")
+        .when(F.col("ts").isNull() | F.col("full").isNull(), "no earlier response")
         .when(F.coalesce(differs, F.lit(False)), "validator differs")
         .otherwise("resolved")
     )
     resolved = F.col("outcome") == "resolved"
-    return (
-        found.withColumn("outcome", outcome)
-        .withColumn("source_id", F.when(resolved, F.col("__full.record_id")).when(~revisit, F.col("record_id")))
-        .withColumn("source_digest", F.when(resolved, F.col("__full.digest")).when(~revisit, F.col("digest")))
-        .withColumn("merged", F.when(resolved, merged_headers(F.col("__full.headers"), F.col("headers"))).when(~revisit, F.col("headers")))
-        .drop("__span", "__near", "__carried", "__full", "__key", "__at")
+    return found.withColumn("outcome", outcome).select(
+        *[F.col("row")[c].alias(c) for c in passed],
+        "url_key",
+        "outcome",
+        F.when(resolved, F.col("full.record_id")).when(~revisit, F.col("record_id")).alias("source_id"),
+        F.when(resolved, F.col("full.digest")).when(~revisit, F.col("digest")).alias("source_digest"),
+        F.when(resolved, merged_headers(F.col("full.headers"), F.col("headers"))).when(~revisit, F.col("headers")).alias("merged"),
     )
 
 
