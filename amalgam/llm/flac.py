@@ -23,14 +23,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bits import CRC8, BitWindows, crc16_ranges, scatter_bits
-from .common import documents, slices
+from .common import documents, lean, materialize, slices
 
 BLOCK = 512
 RATE = 8000
 SEEK_EVERY = 16  # frames
 PAD = 64
 #: Samples that are encoded, or frames that are decoded, at once.
-SAMPLES_AT_ONCE, FRAMES_AT_ONCE = 2 << 20, 4096
+SAMPLES_AT_ONCE, FRAMES_AT_ONCE = 1 << 20, 2048
 LPC_BITS, LPC_SHIFT = 8, 6
 #: Sample rates and sample sizes of the header codes, and the fixed predictors (RFC 9639).
 RATE_EXTRA = {12: 1, 13: 2, 14: 2}
@@ -45,16 +45,18 @@ class FlacError(ValueError):
 
 
 def _number_bytes(number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Frame numbers in the UTF-8-like code: bytes (rows of 4) and how many count."""
+    """Frame numbers in the UTF-8-like code of up to 36 bits: bytes (rows of 7) and how many count."""
     n = number.astype(np.int64)
-    size = 1 + (n >= 1 << 7) + (n >= 1 << 11) + (n >= 1 << 16)
-    out = np.zeros((len(n), 4), np.int64)
-    for width in range(1, 5):
+    if len(n) and int(n.max()) >> 36:
+        raise FlacError("a stream has 2 ** 36 frames at most")
+    size = 1 + (n >= 1 << 7) + sum((n >= 1 << bits).astype(np.int64) for bits in (11, 16, 21, 26, 31))
+    out = np.zeros((len(n), 7), np.int64)
+    for width in np.unique(size).tolist():
         rows = size == width
         if width == 1:
             out[rows, 0] = n[rows]
             continue
-        out[rows, 0] = (0xF0 << (4 - width) & 0xFF) | n[rows] >> 6 * (width - 1)
+        out[rows, 0] = (0xFF << (8 - width) & 0xFF) | n[rows] >> 6 * (width - 1)
         for k in range(1, width):
             out[rows, k] = 0x80 | n[rows] >> 6 * (width - 1 - k) & 0x3F
     return out, size
@@ -107,12 +109,13 @@ def _frames(samples: np.ndarray, start: np.ndarray, size: np.ndarray, number: np
     width = np.where(is_code, kk + 1, np.minimum(span, 8))
     value = np.where(is_code, 1 << kk | u & (1 << kk) - 1, np.where(span > 0, x & 255, 0))
 
-    header = np.zeros((frames, 9), np.int64)
+    numbers, n_number = _number_bytes(number)
+    longest = int(n_number.max(initial=1))
+    header = np.zeros((frames, 6 + longest), np.int64)
     code = np.where(size == BLOCK, 8 + int(np.log2(BLOCK // 256)), np.where(size <= 256, 6, 7))
     header[:, 0], header[:, 1], header[:, 2], header[:, 3] = 0xFF, 0xF8, code << 4 | 4, 0x02
-    numbers, n_number = _number_bytes(number)
     at, rows = np.full(frames, 4), np.arange(frames)
-    for j in range(4):
+    for j in range(longest):
         use = n_number > j
         header[rows[use], at[use]] = numbers[use, j]
         at += use
@@ -120,7 +123,7 @@ def _frames(samples: np.ndarray, start: np.ndarray, size: np.ndarray, number: np
         header[rows[use], at[use]] = (size[use] - 1) >> shift & 255
         at += use
     crc = np.zeros(frames, np.uint8)
-    for j in range(9):
+    for j in range(6 + longest):
         crc = np.where(j < at, CRC8[crc ^ header[:, j].astype(np.uint8)], crc)
 
     extra = np.where(coded, 10 + np.where(best == 3, 9 + 2 * LPC_BITS, 0), 0)
@@ -129,7 +132,7 @@ def _frames(samples: np.ndarray, start: np.ndarray, size: np.ndarray, number: np
     stop = np.cumsum(n_bytes)
     first = stop - n_bytes
     out = np.zeros(int(stop[-1]), np.uint8)
-    for j in range(9):
+    for j in range(6 + longest):
         use = at > j
         out[first[use] + j] = header[use, j]
     out[first + at] = crc
@@ -462,60 +465,96 @@ def media_column(docs: DataFrame) -> DataFrame:
                 media = encode_streams([payload_of(t) for t in texts])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, "doc_id long, n_bytes long, media binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(encode), "doc_id long, n_bytes long, media binary")
 
 
-def pcm_blocks(media: DataFrame, frames_per_block: int = SEEK_EVERY) -> DataFrame:
-    """PCM of (doc_id, media) in blocks that can be sought: doc_id, block, sample_offset, n_samples, byte_offset, pcm.
+BLOCKS = pa.list_(pa.struct([("block", pa.int32()), ("sample_offset", pa.int64()), ("n_samples", pa.int64()), ("byte_offset", pa.int64()), ("frames", pa.int32()), ("pcm", pa.binary())]))
+
+
+def pcm_column(media: DataFrame, frames_per_block: int = SEEK_EVERY) -> DataFrame:
+    """All columns of ``media`` but media, and blocks: the PCM of each stream, checked, in blocks that can be sought.
 
-    ``byte_offset`` is where the block's first frame begins after the metadata; pcm is signed, little-endian,
-    channels interleaved. A null stream gives no block.
+    A block has block (its number), sample_offset, n_samples, byte_offset (where its first frame begins after the
+    metadata), frames, and pcm: signed, little-endian, channels interleaved. A null stream has no blocks.
     """
+    rest = [c for c in media.columns if c != "media"]
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 1, SAMPLES_AT_ONCE):
-                known = [(i, m) for i, m in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True) if m is not None]
-                rows: list[tuple] = []
-                for (doc_id, _), s in zip(known, decode_streams([m for _, m in known]), strict=True):
-                    kind = np.int8 if s.sample_bits <= 8 else "<i2" if s.sample_bits <= 16 else "<i4"
-                    for block, f in enumerate(range(0, len(s.frame_sample), frames_per_block)):
-                        a = int(s.frame_sample[f])
-                        b = int(s.frame_sample[f + frames_per_block]) if f + frames_per_block < len(s.frame_sample) else len(s.samples)
-                        rows.append((doc_id, block, a, b - a, int(s.frame_byte[f]), s.samples[a:b].astype(kind).tobytes()))
-                columns = list(zip(*rows, strict=True)) if rows else [()] * 6
-                kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "block", "sample_offset", "n_samples", "byte_offset", "pcm"])
-
-    return media.select("doc_id", "media").mapInArrow(decode, "doc_id long, block int, sample_offset long, n_samples long, byte_offset long, pcm binary")
-
-
-def feature_of(s: Stream) -> str:
-    """Frames, loudness, zero crossings and peak of the decoded samples."""
-    x = s.samples[:, 0].astype(np.int64)
+            for part in slices(batch, len(rest), SAMPLES_AT_ONCE):
+                streams = part.column(len(rest)).to_pylist()
+                found = iter(decode_streams([m for m in streams if m is not None]))
+                columns: list[list] = [[] for _ in BLOCKS.value_type]
+                ends = [0]
+                for m in streams:
+                    if m is not None:
+                        s = next(found)
+                        kind = np.int8 if s.sample_bits <= 8 else "<i2" if s.sample_bits <= 16 else "<i4"
+                        samples, frames = s.samples.astype(kind), len(s.frame_sample)
+                        for block, f in enumerate(range(0, frames, frames_per_block)):
+                            last = f + frames_per_block >= frames
+                            a, b = int(s.frame_sample[f]), len(samples) if last else int(s.frame_sample[f + frames_per_block])
+                            for c, v in zip(columns, (block, a, b - a, int(s.frame_byte[f]), min(frames_per_block, frames - f), samples[a:b].tobytes()), strict=True):
+                                c.append(v)
+                    ends.append(len(columns[0]))
+                values = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, BLOCKS.value_type, strict=True)], fields=list(BLOCKS.value_type))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)], [*rest, "blocks"])
+
+    fields = ", ".join(f"`{c}` {media.schema[c].dataType.simpleString()}" for c in rest)
+    blocks = "array<struct<block:int,sample_offset:bigint,n_samples:bigint,byte_offset:bigint,frames:int,pcm:binary>>"
+    return media.select(*rest, "media").mapInArrow(lean(decode), f"{fields}, blocks {blocks}")
+
+
+def pcm_blocks(media: DataFrame, frames_per_block: int = SEEK_EVERY) -> DataFrame:
+    """The blocks of (doc_id, media) as rows: doc_id, block, sample_offset, n_samples, byte_offset, frames, pcm."""
+    return pcm_column(media.select("doc_id", "media"), frames_per_block).select("doc_id", F.explode("blocks").alias("b")).select("doc_id", "b.*")
+
+
+def feature_of(samples: np.ndarray, frames: int) -> str:
+    """Frames, loudness, zero crossings and peak of decoded samples."""
+    x = samples.astype(np.int64)
     crossings = int(((x[1:] < 0) != (x[:-1] < 0)).sum())
-    return f"frames={len(s.frame_sample)};rms={np.sqrt(float(x @ x) / max(1, len(x))):.4f};crossings={crossings};peak={int(np.abs(x).max(initial=0))}"
+    return f"frames={frames};rms={np.sqrt(float(x @ x) / max(1, len(x))):.4f};crossings={crossings};peak={int(np.abs(x).max(initial=0))}"
 
 
-def op1_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stores every text as FLAC and describes what is read back from the stored bytes."""
+def described(pcm: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature of rows with 8-bit mono blocks."""
 
     def read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 2, SAMPLES_AT_ONCE):
-                media = part.column(2).to_pylist()
-                columns: list[list] = [[], [], [], [], [], []]
-                for m, s in zip(media, decode_streams(media), strict=True):
-                    payload = (s.samples[:, 0] + 128).astype(np.uint8).tobytes()
-                    row = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-PAD:]), len(m), hashlib.sha256(m).hexdigest(), feature_of(s))
+            for a in range(0, batch.num_rows, 256):
+                part = batch.slice(a, 256)
+                lists = part.column(4)
+                held = lists.flatten()
+                offset, n, frames = (held.field(k).to_numpy() for k in ("sample_offset", "n_samples", "frames"))
+                pcm_of = held.field("pcm").to_pylist()
+                ends = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+                columns: list[list] = [[], [], [], []]
+                for i, j in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                    if not np.array_equal(offset[i:j], np.cumsum(n[i:j]) - n[i:j]):
+                        raise FlacError("PCM blocks do not follow on")
+                    samples = np.frombuffer(b"".join(pcm_of[i:j]), np.int8)
+                    payload = (samples.astype(np.int16) + 128).astype(np.uint8).tobytes()
+                    row = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-PAD:]), feature_of(samples, int(frames[i:j].sum())))
                     for c, v in zip(columns, row, strict=True):
                         c.append(v)
-                kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-                names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", "n_bytes", *names])
+                size, sha, crc, feature = (pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.string(), pa.int64(), pa.string()), strict=True))
+                names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), size, sha, crc, part.column(2), part.column(3), feature], names)
 
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return media_column(documents(spark, sf_dir)).mapInArrow(read_back, schema)
+    return pcm.select("doc_id", "n_bytes", "media_bytes", "media_sha256", "blocks").mapInArrow(lean(read_back), schema)
+
+
+def flac_media(docs: DataFrame) -> DataFrame:
+    """Stores every text as FLAC, writes the PCM blocks decoded from the stored streams, and describes what is read back from those."""
+    stored = materialize(media_column(docs), "flac-media", compression="none")
+    media = stored.select("doc_id", "n_bytes", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "media")
+    return described(materialize(pcm_column(media), "flac-pcm", compression="zstd"))
+
+
+def op1_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flac_media(documents(spark, sf_dir))
 
 
 ORACLE: dict[str, str] = {}
