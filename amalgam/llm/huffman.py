@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bits import scatter_bits
-from .common import documents, materialize, slices, work_base
+from .common import documents, lean, materialize, slices, work_base
 from .tokens import encoder, tokenizer_path
 
 TOKENIZER = "word_bpe_49k.json"
@@ -30,6 +30,8 @@ END_ID = 2
 LIMIT = 16
 STRIDE = 256
 BLOCK_IDS = 1 << 18
+#: The driver knows how many ids each file has.
+MOST_FILES = 1 << 14
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
@@ -141,7 +143,7 @@ def token_ids(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID,
                 column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(whole)])
                 yield pa.RecordBatch.from_arrays([part.column(0), column.cast(pa.binary())], ["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(encode, "doc_id long, ids binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(encode), "doc_id long, ids binary")
 
 
 def id_counts(ids: DataFrame, kind: str) -> DataFrame:
@@ -157,7 +159,7 @@ def id_counts(ids: DataFrame, kind: str) -> DataFrame:
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"id": pa.array(found, pa.int64()), "n": pa.array(total[found], pa.int64())})
 
-    return ids.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return ids.select("ids").mapInArrow(lean(count), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 BLOCKS = "part int, seq int, start_in_part long, doc_ids array<long>, doc_lens array<int>, n_ids long, bits binary, checkpoints binary"
@@ -179,7 +181,7 @@ def coded(batches: Iterator[pa.RecordBatch], kind: str, codes: np.ndarray, lengt
 
 
 def write_ids(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id: int = END_ID, ids_per_file: int = 4_000_000) -> None:
-    """Writes the ids of all documents to a new folder ``path``, in ascending doc_id order."""
+    """Writes the ids of all documents to a new folder ``path``, in ascending doc_id order, in ``MOST_FILES`` files at most."""
     spark = docs.sparkSession
     kind = id_type(tokenizer, end_id)
     ids = materialize(token_ids(docs, tokenizer, end_id, kind), "token-ids", compression="zstd")
@@ -215,9 +217,11 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end_id: in
         if held:
             yield block()
 
-    files = max(1, int(n.sum()) // ids_per_file)
-    ranged = ids.repartitionByRange(files, "doc_id") if files > 1 else ids.coalesce(1)
-    ranged.sortWithinPartitions("doc_id", "ids").mapInArrow(blocks, BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
+    files = min(MOST_FILES, max(1, int(n.sum()) // ids_per_file))
+    # null and repeated doc_ids are many ranges too; the last key parts rows that are alike
+    keyed = ids.withColumns({"by": F.xxhash64("ids"), "turn": F.monotonically_increasing_id()})
+    ranged = keyed.repartitionByRange(files, "doc_id", "by", "turn") if files > 1 else keyed.coalesce(1)
+    ranged.sortWithinPartitions("doc_id", "by", "turn").select("doc_id", "ids").mapInArrow(lean(blocks), BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
 
 
 def read_ids(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
@@ -260,7 +264,7 @@ def read_ids(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame
                     columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], stop]), pa.int32()), pa.array(ids.astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(columns)])
 
-    return stored.mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    return stored.mapInArrow(lean(decode), "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
 def op3_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
