@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, text_of
+from .common import documents, lean, materialize, text_of
 
 
 def merge_summary(counts: dict[bytes, int], more: dict[bytes, int], counters: int) -> dict[bytes, int]:
@@ -44,7 +44,7 @@ def frequent_candidates(digests: DataFrame, column: str, counters: int) -> DataF
             {"value": pa.array(list(counts), pa.binary()), "n": pa.array(list(counts.values()), pa.int64())}
         )
 
-    partial = digests.select(column).mapInArrow(summarize, "value binary, n long")
+    partial = digests.select(column).mapInArrow(lean(summarize), "value binary, n long")
     merged = partial.groupBy("value").agg(F.sum("n").alias("n"))
     return merged.orderBy(F.desc("n"), "value").limit(counters).select(F.col("value").alias(column))
 

@@ -72,18 +72,18 @@ def pack(docs: DataFrame, buckets: int = 16, budget: int = 65_536) -> DataFrame:
     """
     spark = docs.sparkSession
     base = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), word_count().alias("n_tokens")), "pack-lengths")
-    histogram = base.groupBy(F.col("n_tokens").alias("length")).count().collect()
-    bounds = optimal_buckets(np.array([r["length"] for r in histogram], np.int64), np.array([r["count"] for r in histogram], np.int64), buckets)
+    histogram = base.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n")).toArrow()
+    lengths, counts = (histogram.column(c).to_numpy().astype(np.int64) for c in ("n_tokens", "n"))
+    bounds = optimal_buckets(lengths, counts, buckets)
     if not bounds:
         return spark.createDataFrame([], "doc_id long, n_tokens long, bucket int, bucket_len long, batch long, slot int")
     bucket = sum((F.col("n_tokens") > F.lit(b)).cast("int") for b in bounds[:-1]) if len(bounds) > 1 else F.lit(0)
     per_batch = [max(1, budget // max(1, b)) for b in bounds]
     sizes = np.zeros(len(bounds), np.int64)
-    for r in histogram:
-        sizes[np.searchsorted(bounds, r["length"])] += r["count"]
+    np.add.at(sizes, np.searchsorted(bounds, lengths), counts)
     first = np.concatenate([[0], np.cumsum([-(-n // p) for n, p in zip(sizes.tolist(), per_batch, strict=True)])])
     pick = lambda values: F.element_at(F.array(*[F.lit(int(v)).cast("long") for v in values]), F.col("bucket") + 1)
-    numbered = gapless_index(base.withColumn("bucket", bucket.cast("int")), ["bucket"], ["doc_id", "n_tokens"], "__at", sum(r["count"] for r in histogram))
+    numbered = gapless_index(base.withColumn("bucket", bucket.cast("int")), ["bucket"], ["doc_id", "n_tokens"], "__at", int(counts.sum()))
     return numbered.select(
         "doc_id",
         "n_tokens",
