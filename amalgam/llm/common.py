@@ -25,6 +25,7 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
@@ -138,7 +139,7 @@ def gapless_index(df: DataFrame, keys: list[str], order: list[str], out: str, ro
     )
 
 
-def slices(batch, column: int, most_bytes: int = 8 << 20):
+def slices(batch, column: int, most_bytes: int = 2 << 20):
     """Consecutive row slices of an Arrow batch whose text column holds about ``most_bytes`` at most, one row at least."""
     import numpy as np
     import pyarrow as pa

@@ -23,9 +23,9 @@ No pair is lost and none is capped: the bounds of 2 and 4 hold for every linked
 to equal 64-bit hashes of different shingles).
 
 Defined results: null or empty texts and texts without words have an empty set, link with nothing and
-are their own component; a text of fewer words than ``width`` is one shingle; copies link; rows with
-equal doc_id are one document for the links; a null doc_id takes the component of its class;
-other columns are not read; an empty table gives an empty result.
+are their own component; a text of fewer words than ``width`` is one shingle; copies link; rows of one doc_id
+with different texts are documents of their own, each in the component of its text; a null doc_id takes the
+component of its class; repeated rows get a row each; other columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -38,16 +38,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..graph import connected_components
-from .common import documents, materialize, slices
+from .common import documents, lean, materialize, release, slices, text_hash
 from .shingles import mix, shingle_sets
 
 RECORD = np.dtype([("token", "<u4"), ("node", "<i8"), ("beta", "u1"), ("need", "u1")])
 TOKENS_PER_BUCKET = 1_000_000
 #: A token in more sets of one slice than this is settled there; one set stands for them in the token's bucket.
 HOT_IN_SLICE = 64
-#: Shingles of a chunk of a group, and queries that one task compares with it.
-SHINGLES_PER_CHUNK, QUERIES_PER_TASK = 1_000_000, 20_000
-HITS_AT_ONCE = 500_000
+#: Shingles of a chunk of a group, and of the queries that one task compares with it.
+SHINGLES_PER_CHUNK, SHINGLES_PER_LANE = 500_000, 1_000_000
+HITS_AT_ONCE = 250_000
+#: Bytes of a group's texts from which its memory is given back at once.
+RELEASE_OVER = 1 << 20
 
 
 class Bands:
@@ -108,23 +110,25 @@ def set_tokens(own: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray, n
 
 
 def profiles(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, identity, node of every row; the last two null for empty sets."""
+    """doc_id, text_hash, n_shingles, identity, node of every row; the last two null for empty sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 1):
-                sets = shingle_sets(part.column(1), width)
+            for part in slices(batch, 2):
+                sets = shingle_sets(part.column(2), width)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
+                        part.column(1),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([set_identity(s) if len(s) else None for s in sets], pa.binary()),
                         pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()),
                     ],
-                    ["doc_id", "n_shingles", "identity", "node"],
+                    ["doc_id", "text_hash", "n_shingles", "identity", "node"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, identity binary, node long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("text_hash"), "text")
+    return rows.mapInArrow(lean(run), "doc_id long, text_hash long, n_shingles long, identity binary, node long")
 
 
 def packed_tokens(docs: DataFrame, width: int, percent: int, buckets: int) -> DataFrame:
@@ -166,7 +170,7 @@ def packed_tokens(docs: DataFrame, width: int, percent: int, buckets: int) -> Da
                 rows += [(b, record[cuts[b] : cuts[b + 1]].tobytes()) for b in np.unique(bucket).tolist()]
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "records"])
 
-    return docs.select("text").mapInArrow(run, "bucket int, records binary")
+    return docs.select("text").mapInArrow(lean(run), "bucket int, records binary")
 
 
 SHARED = "token long, node long, beta int, need int"
@@ -196,7 +200,9 @@ def shared_tokens(packed: DataFrame) -> DataFrame:
 
     def gather(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
-        return pa.Table.from_batches([_shared(bucket, table.column("records").to_pylist(), False)])
+        out = pa.Table.from_batches([_shared(bucket, table.column("records").to_pylist(), False)])
+        release()
+        return out
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -204,7 +210,7 @@ def shared_tokens(packed: DataFrame) -> DataFrame:
                 yield _shared(-1 - bucket, [raw], True)
 
     dealt = packed.where("bucket >= 0").groupBy("bucket").applyInArrow(gather, SHARED)
-    return dealt.union(packed.where("bucket < 0").mapInArrow(settle, SHARED))
+    return dealt.union(packed.where("bucket < 0").mapInArrow(lean(settle), SHARED))
 
 
 def prune(shared: DataFrame) -> DataFrame:
@@ -218,15 +224,27 @@ def prune(shared: DataFrame) -> DataFrame:
 
 
 def open_groups(rows: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links a, b (representatives) within (grp, lane) of ``rows`` (grp, lane, query, doc_id, text): members are
-    compared with each other in lane 0, queries with members in their lane."""
+    """Links a, b (nodes) within (grp, lane) of ``rows`` (grp, lane, query, node, text): members are compared with
+    each other in lane 0, queries with members in their lane. Rows whose text is another set than ``node`` are left out:
+    they have the same doc_id only."""
 
     def run(table: pa.Table) -> pa.Table:
+        out = compared(table)
+        if table.nbytes > RELEASE_OVER:
+            release()
+        return out
+
+    def compared(table: pa.Table) -> pa.Table:
         sets = shingle_sets(table.column("text").combine_chunks(), width)
-        ids = table.column("doc_id").to_pylist()
+        ids = table.column("node").to_pylist()
         is_query = table.column("query").to_pylist()
-        members = [i for i in range(len(ids)) if not is_query[i]]
-        queries = [i for i in range(len(ids)) if is_query[i]]
+        seen: set[tuple[bool, int]] = set()
+        members, queries = [], []
+        for i, (node, asks) in enumerate(zip(ids, is_query, strict=True)):
+            if (asks, node) in seen or not len(sets[i]) or node_of(sets[i]) != node:
+                continue
+            seen.add((asks, node))
+            (queries if asks else members).append(i)
         parent = list(range(len(members)))
 
         def root(i: int) -> int:
@@ -304,6 +322,7 @@ def _id_filter(ids: DataFrame, column: str, rows: int) -> tuple[np.ndarray, int]
             np.bitwise_or.at(out, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
         yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], ["bits"])
 
+    run = lean(run)
     total = np.zeros(bits // 8, np.uint8)
     for r in ids.select(column).coalesce(8).mapInArrow(run, "bits binary").toLocalIterator():
         total |= np.frombuffer(r.bits, np.uint8)
@@ -321,11 +340,11 @@ def texts_of(docs: DataFrame, wanted: np.ndarray, bits: int) -> DataFrame:
             found = held.value[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1
             yield batch.filter(pa.array(found.astype(bool)))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, text string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), "doc_id long, text string")
 
 
 def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text)."""
+    """doc_id, n_shingles, component_id, text_hash of every row of ``docs`` (doc_id, text)."""
     found = materialize(profiles(docs, width), "join-profiles")
     classes = materialize(found.where("n_shingles > 0 and doc_id is not null").groupBy("identity").agg(F.min("doc_id").alias("doc_id"), F.first("node").alias("node"), F.first("n_shingles").alias("n")), "join-classes")
     total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -345,20 +364,27 @@ def jaccard_components(docs: DataFrame, width: int = 4, percent: int = 85) -> Da
     matrix = across.select("token", F.col("grp").alias("other")).distinct()
     overlap = across.join(matrix, "token").where("grp <> other").groupBy("node", "other", "beta").agg(F.count(F.lit(1)).alias("overlap"), F.max("need").alias("need"))
     visits = overlap.where("overlap >= need").select("node", F.col("other").alias("grp")).distinct()
-    visits = materialize(visits.join(grouped.select("node", "doc_id"), "node").select("doc_id", "grp"), "join-visits")
+    visits = materialize(visits.join(grouped.select("node", "doc_id", "n"), "node").select("node", "doc_id", "n", "grp"), "join-visits")
     # open the groups that have two sets or a query; many queries are dealt to lanes, each with the members
-    queries = visits.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / QUERIES_PER_TASK).cast("int").alias("lanes"))
+    queries = visits.groupBy("grp").agg(F.ceil(F.sum("n") / SHINGLES_PER_LANE).cast("int").alias("lanes"))
     sizes = grouped.groupBy("grp").agg(F.count(F.lit(1)).alias("size"))
     opened = sizes.join(queries, "grp", "left").select("grp", "size", F.coalesce("lanes", F.lit(1)).alias("lanes"), F.col("lanes").isNotNull().alias("asked")).where("size > 1 or asked")
     opened = materialize(opened, "join-opened")
-    own = grouped.join(opened, "grp").select("doc_id", "grp", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)).alias("lane"), F.lit(False).alias("query"))
-    asking = visits.join(opened, "grp").select("doc_id", "grp", F.pmod(F.hash("doc_id"), "lanes").alias("lane"), F.lit(True).alias("query"))
+    own = grouped.join(opened, "grp").select("node", "doc_id", "grp", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)).alias("lane"), F.lit(False).alias("query"))
+    asking = visits.join(opened, "grp").select("node", "doc_id", "grp", F.pmod(F.hash("node"), "lanes").alias("lane"), F.lit(True).alias("query"))
     work = materialize(own.unionByName(asking), "join-work")
     wanted, bits = _id_filter(work, "doc_id", work.count())
-    links = open_groups(work.join(texts_of(docs, wanted, bits), "doc_id"), width, percent)
+    texts = texts_of(docs, wanted, bits)
+    if found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").limit(1).count():
+        # repeated rows would meet each of their group's lanes as often as they are repeated
+        texts = texts.groupBy("doc_id", F.xxhash64("text").alias("hash")).agg(F.first("text").alias("text")).select("doc_id", "text")
+    links = open_groups(work.join(texts, "doc_id").select("grp", "lane", "query", "node", "text"), width, percent)
     parts = materialize(connected_components(materialize(links, "join-links")), "join-components")
-    named = classes.join(parts, classes.doc_id == parts.node, "left").select("identity", F.coalesce("component", "doc_id").alias("component_id"))
-    return found.join(named, "identity", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    linked = classes.join(parts, "node").select("identity", "doc_id", "component")
+    least = linked.groupBy("component").agg(F.min("doc_id").alias("least"))
+    linked = linked.join(least, "component").select("identity", "least")
+    named = classes.join(linked, "identity", "left").select("identity", F.coalesce("least", "doc_id").alias("component_id"))
+    return found.join(named, "identity", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "text_hash")
 
 
 def op6_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:

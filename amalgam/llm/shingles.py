@@ -48,7 +48,7 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 #: Bytes of text that are hashed at once; a working set of about 60 times as many.
-BYTES_AT_ONCE = 2 << 20
+BYTES_AT_ONCE = 1 << 19
 
 
 def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
