@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, slices
+from .common import documents, lean, materialize, slices
 
 _KINDS = np.zeros((8, 256), np.uint8)
 for _c in range(256):
@@ -41,6 +41,8 @@ for _c in range(256):
 _SPREAD = np.random.default_rng(11).integers(1, 1 << 62, 64).astype(np.uint64) | np.uint64(1)
 _LETTER = np.random.default_rng(12).integers(1, 1 << 62, 256).astype(np.uint64)
 OWN = 16
+#: Bytes of text whose lines are described at once, in a working set of some 60 times as many.
+SLICE = 1 << 19
 #: Own features that are also taken from the line before and the line after.
 NEAR = (2, 3, 4, 5, 6, 9, 13, 14)
 FEATURES = OWN + 2 * len(NEAR) + 2
@@ -206,14 +208,14 @@ def train(docs: DataFrame, labels: DataFrame, max_docs: int = 8_000, max_lines:
 
     def featurize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 2, 2 << 20):
+            for part in slices(batch, 2, SLICE):
                 x, n, _ = line_features([t or "" for t in part.column(2).to_pylist()])
                 begin = np.cumsum(n) - n
                 rows = [x[a : a + k].astype("<f4").tobytes() for a, k in zip(begin.tolist(), n.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n, pa.int64()), pa.array(rows, pa.binary())], ["doc_id", "quality", "n", "x"])
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text")
-    found = materialize(own.mapInArrow(featurize, "doc_id long, quality int, n long, x binary"), "crf-features")
+    found = materialize(own.mapInArrow(lean(featurize), "doc_id long, quality int, n long, x binary"), "crf-features")
     rows, lines = [], 0
     for r in found.orderBy(F.xxhash64("doc_id"), "doc_id", "n", "x").limit(max_docs).toLocalIterator():
         if rows and lines + r.n > max_lines:
@@ -235,12 +237,14 @@ def quality_of(docs: DataFrame, model: LineCrf, out: str = "score") -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, at, 2 << 20):
+            for part in slices(batch, at, SLICE):
                 scores = model.scores([t or "" for t in part.column(at).to_pylist()])
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores, pa.float64())], [*part.schema.names, out])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores, pa.float64())], [*part.schema.names, "score"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{fields}, `{out}` double")
+    # by number: Spark's call takes no names with dots
+    numbered = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in numbered.schema.fields)
+    return numbered.mapInArrow(lean(run), f"{fields}, score double").toDF(*docs.columns, out)
 
 
 def op5_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from amalgam.llm import bits, flac, huffman
 from amalgam.llm.tokens import ChunkEncoder
@@ -95,9 +96,24 @@ def test_flac_stereo_partitions_and_escape():
     assert np.array_equal(s.samples, np.stack([left, right], 1))
 
 
+@pytest.mark.parametrize("number", [0, 127, 128, 2**11, 2**16 - 1, 2**16, 2**21 - 1, 2**21, 2**26, 2**31, 2**36 - 1])
+def test_frame_numbers(number):
+    raw, size = flac._number_bytes(np.array([number]))
+    own = raw[0, : size[0]].tolist()
+    lead = own[0]
+    ones = 8 - (~lead & 0xFF).bit_length()
+    got = lead if ones == 0 else lead & ((1 << max(0, 7 - ones)) - 1)
+    for b in own[1:]:
+        assert b >> 6 == 2
+        got = got << 6 | b & 63
+    assert got == number and (ones or 1) == size[0]
+    with pytest.raises(flac.FlacError):
+        flac._number_bytes(np.array([2**36]))
+
+
 def test_op1_rows(spark):
     rows = [(1, "abc"), (2, None), (3, ""), (4, "abc"), (5, "é" * 5000), (5, "é" * 5000), (None, "x" * 64)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("media", F.lit("clash"))
     media = flac.media_column(docs)
     for r in media.collect():
         s = flac.decode_streams([bytes(r.media)])[0]
@@ -107,8 +123,20 @@ def test_op1_rows(spark):
     whole = np.frombuffer(flac.payload_of("é" * 5000), np.uint8)
     for b in blocks:
         assert np.array_equal(np.frombuffer(b.pcm, np.int8).astype(int) + 128, whole[b.sample_offset : b.sample_offset + b.n_samples])
-    assert sum(b.n_samples for b in blocks) == len(whole)
-    assert flac.media_column(docs.limit(0)).count() == 0
+    assert sum(b.n_samples for b in blocks) == len(whole) and sum(b.frames for b in blocks) == -(-len(whole) // flac.BLOCK)
+    got = flac.flac_media(docs).collect()
+    assert len(got) == len(rows) and len({tuple(r)[1:] for r in got}) == 4  # equal texts, equal values
+    for r in got:
+        text = dict(rows).get(r.doc_id)
+        payload = flac.payload_of(text)
+        stored = flac.encode_streams([payload])[0]
+        x = np.frombuffer(payload, np.uint8).astype(int) - 128
+        crossings = sum((a < 0) != (b < 0) for a, b in zip(x, x[1:]))
+        feature = f"frames={-(-len(x) // flac.BLOCK)};rms={np.sqrt((x * x).mean()):.4f};crossings={crossings};peak={abs(x).max()}"
+        assert tuple(r)[1:] == (len((text or "").encode()), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), feature)
+    assert flac.media_column(docs.limit(0)).count() == 0 and flac.flac_media(docs.limit(0)).count() == 0
+    null = spark.createDataFrame([(1, None)], "doc_id long, media binary")
+    assert flac.pcm_blocks(null).count() == 0 and flac.pcm_column(null).first().blocks == []
 
 
 def brute_lengths(counts, limit):

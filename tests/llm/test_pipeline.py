@@ -2,6 +2,7 @@ import random
 
 import corpus_pipeline as pipeline
 import pytest
+from pyspark.sql import functions as F
 from test_operators import SCHEMA, brute_components, prose, size
 
 from amalgam.llm.mixing import capped_targets
@@ -62,11 +63,42 @@ def test_stages_and_run(spark, world):
 def test_empty(spark, world):
     path, _ = world
     docs = spark.read.parquet(f"{path}/documents.parquet").limit(0)
-    for _, stage in pipeline.STAGES[1:]:
+    for _, stage in pipeline.STAGES:
         docs = stage(spark, docs, path)
         assert docs.count() == 0
 
 
+@pytest.mark.parametrize("k", range(4))
+def test_clashing_columns(spark, world, k):
+    """Columns named like those that stages use pass through, with the rows."""
+    path, rows = world
+    names = ["__id", "__key", "__stay", "__rank", "__quality", "__source", "__copies", "__copy", "__slot", "__bits", "key", "score", "kept", "text_hash", "component_id", "stay", "rows", "a.b"]
+    docs = spark.read.parquet(f"{path}/documents.parquet").select("*", *[F.concat(F.lit(n), F.col("doc_id").cast("string")).alias(n) for n in names])
+    name, stage = pipeline.STAGES[k]
+    got = stage(spark, docs, path)
+    assert got.columns == docs.columns
+    plain = stage(spark, docs.select([c.split()[0] for c in SCHEMA.split(", ")]), path)
+    found = got.collect()
+    assert sorted(r.doc_id for r in found) == sorted(r.doc_id for r in plain.collect())
+    assert all(r[n] == f"{n}{r.doc_id}" for r in found for n in names)
+
+
+def test_rows_of_one_doc_id(spark, world):
+    path, _ = world
+    rng = random.Random(8)
+    a, b = prose(60, rng), prose(60, rng)
+    near = " ".join([*a.split()[:-1], "zzz"])
+    rows = [(1, a, "en", "s", 1), (7, near, "en", "s", 2), (7, b, "en", "s", 3), (8, near, "en", "s", 4), (None, near, "en", "s", 5), (None, None, None, None, 6), (9, "", "en", "s", 7), (1, a, "en", "s", 8)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    kept = pipeline.near_dedup(spark, docs, path).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept) == sorted([(1, a), (7, b), (0, ""), (9, "")])  # another text of doc 7 stays, one of two rows that are alike
+    exact = pipeline.dedup(spark, docs, path).collect()
+    assert sorted((r.doc_id, r.text) for r in exact) == sorted([(1, a), (7, b), (8, near), (9, "")])
+    assert sum(r.doc_id == 1 for r in exact) == 1
+    mixed = pipeline.mixing(spark, docs, path).collect()
+    assert {(r.doc_id, r.n_chars) for r in mixed} <= {(r[0], r[4]) for r in rows} and any(r.n_chars == 6 for r in mixed)
+
+
 def test_registered():
     import __spark_entry__ as entry
 
