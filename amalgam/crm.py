@@ -36,7 +36,7 @@ def crm(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("r_name").alias("state"),
         F.lit("Country").alias("country"),
         F.concat(F.lit("dev_"), g.cast("string")).alias("device_ids"),
-        F.element_at(F.array(F.lit("branch_form"), F.lit("call_center"), F.lit("mobile_app"), F.lit("partner_api")), (k % 4 + 1).cast("int")).alias("source"),
+        F.element_at(F.array(F.lit("desk"), F.lit("phone_line"), F.lit("app"), F.lit("reseller")), (k % 4 + 1).cast("int")).alias("source"),
     )
 
 
@@ -59,7 +59,7 @@ CRM_SQL = """
                printf('%02d/%02d/%04d', 1 + g * 11 % 28, 1 + g * 5 % 12, 1950 + g % 50) AS dob,
                'No. ' || (g % 300 + 1) || ' ' || n_name || ' Street' AS address,
                n_name AS city, r_name AS state, 'Country' AS country, 'dev_' || g AS device_ids,
-               ['branch_form', 'call_center', 'mobile_app', 'partner_api'][k % 4 + 1] AS source
+               ['desk', 'phone_line', 'app', 'reseller'][k % 4 + 1] AS source
         FROM raw JOIN part ON p_partkey = (g * 7) % (SELECT count(*) FROM part)
         JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey
     )"""

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -45,6 +47,67 @@ def jaro_winkler(a: str, b: str) -> float:
     return jaro + prefix * 0.1 * (1 - jaro)
 
 
+#: Strings that one batch takes side by side, the longest of them, and the distinct letters that a batch may have.
+MANY, LONGEST, LETTERS = 8_192, 63, 64
+
+
+def _letters(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """A row of code points per text, 0 beyond its end, and the lengths."""
+    size = np.fromiter(map(len, texts), np.int64, len(texts))
+    flat = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    out = np.zeros((len(texts), int(size.max(initial=1)) or 1), np.uint32)
+    out[np.arange(out.shape[1]) < size[:, None]] = flat
+    return out, size
+
+
+def jaro_winkler_many(left: list[str], right: list[str]) -> np.ndarray:
+    """:func:`jaro_winkler` of many pairs side by side, a letter of the left sides at a step; long or odd texts one by one."""
+    out = np.empty(len(left))
+    for at in range(0, len(left), MANY):
+        a, b = left[at : at + MANY], right[at : at + MANY]
+        short = [k for k in range(len(a)) if 0 < len(a[k]) <= LONGEST and 0 < len(b[k]) <= LONGEST]
+        x, la = _letters([a[k] for k in short])
+        y, lb = _letters([b[k] for k in short])
+        letters = np.unique(np.concatenate([x.ravel(), y.ravel()])) if short else np.zeros(0, np.uint32)
+        if not short or len(letters) > LETTERS:
+            short = []
+        else:
+            out[np.array(short) + at] = _side_by_side(np.searchsorted(letters, x), la, np.searchsorted(letters, y), lb, len(letters), x, y)
+        one_by_one = set(range(len(a))) - set(short)
+        for k in one_by_one:
+            out[at + k] = jaro_winkler(a[k], b[k])
+    return out
+
+
+def _side_by_side(x: np.ndarray, la: np.ndarray, y: np.ndarray, lb: np.ndarray, letters: int, raw_x: np.ndarray, raw_y: np.ndarray) -> np.ndarray:
+    n, one, rows = len(la), np.uint64(1), np.arange(len(la))
+    where = np.zeros((n, letters), np.uint64)  # the places of each letter on the right, as bits
+    for j in range(y.shape[1]):
+        on = rows[lb > j]
+        where[on, y[on, j]] |= one << np.uint64(j)
+    reach = np.maximum(0, np.maximum(la, lb) // 2 - 1)
+    free = (one << lb.astype(np.uint64)) - one
+    mine = np.zeros(x.shape, bool)
+    for i in range(x.shape[1]):
+        on = rows[la > i]
+        high = np.minimum(i + reach[on] + 1, 63).astype(np.uint64)
+        low = np.maximum(i - reach[on], 0).astype(np.uint64)
+        near = where[on, x[on, i]] & free[on] & ((one << high) - one)
+        near = near >> low << low
+        mine[on, i] = near > 0
+        free[on] ^= near & (~near + one)  # the first place that is left
+    theirs = (np.arange(y.shape[1]) < lb[:, None]) & ((free[:, None] >> np.arange(y.shape[1]).astype(np.uint64)) & one == 0)
+    m = mine.sum(axis=1)
+    # matched letters of both sides in order: as many on either side, row by row
+    swapped = np.bincount(np.repeat(rows, m), raw_x[mine] != raw_y[theirs], n) // 2
+    some = np.maximum(m, 1)
+    jaro = np.where(m > 0, (m / la + m / lb + (m - swapped) / some) / 3, 0.0)
+    width = min(4, x.shape[1], y.shape[1])
+    same = (raw_x[:, :width] == raw_y[:, :width]) & (raw_x[:, :width] > 0)
+    prefix = np.cumprod(same, axis=1).sum(axis=1)
+    return np.where(jaro > 0.7, jaro + prefix * 0.1 * (1 - jaro), jaro)
+
+
 def indel_ratio(a: str, b: str) -> float:
     """100 * 2 * longest common subsequence / total length, by bit-parallel rows."""
     if not a and not b:
@@ -60,18 +123,27 @@ def indel_ratio(a: str, b: str) -> float:
     return 200.0 * (len(a) - row.bit_count()) / (len(a) + len(b))
 
 
-def _by_pair(score: Callable[[str, str], float]):
-    def run(left: pd.Series, right: pd.Series) -> pd.Series:
-        frame = pd.DataFrame({"l": left, "r": right})
-        known = frame.drop_duplicates().dropna()
-        found = {(x, y): score(x, y) for x, y in zip(known["l"], known["r"], strict=True)}
-        return pd.Series([found.get(p) for p in zip(frame["l"], frame["r"], strict=True)], dtype="float64")
+def _by_pair(score: Callable[[list[str], list[str]], np.ndarray]):
+    def run(left: pa.Array, right: pa.Array) -> pa.Array:
+        known = pc.and_(pc.is_valid(left), pc.is_valid(right))
+        l, r = (c.filter(known).dictionary_encode() for c in (left, right))
+        code = l.indices.to_numpy(zero_copy_only=False).astype(np.int64) * (len(r.dictionary) + 1) + r.indices.to_numpy(zero_copy_only=False)
+        distinct, back = np.unique(code, return_inverse=True)
+        a, b = l.dictionary.to_pylist(), r.dictionary.to_pylist()
+        each = score([a[k] for k in (distinct // (len(b) + 1)).tolist()], [b[k] for k in (distinct % (len(b) + 1)).tolist()])
+        out = np.full(len(left), np.nan)
+        out[known.to_numpy(zero_copy_only=False)] = each[back] if len(each) else []
+        return pa.array(out, pa.float64(), mask=~known.to_numpy(zero_copy_only=False))
 
     return run
 
 
-_jaro_winkler = F.pandas_udf(_by_pair(jaro_winkler), DoubleType())
-_indel_ratio = F.pandas_udf(_by_pair(indel_ratio), DoubleType())
+def _indel_many(left: list[str], right: list[str]) -> np.ndarray:
+    return np.array([indel_ratio(a, b) for a, b in zip(left, right, strict=True)], np.float64)
+
+
+_jaro_winkler = F.arrow_udf(_by_pair(jaro_winkler_many), DoubleType())
+_indel_ratio = F.arrow_udf(_by_pair(_indel_many), DoubleType())
 
 
 def jaro_winkler_col(left: Column, right: Column) -> Column:

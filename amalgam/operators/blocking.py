@@ -51,14 +51,13 @@ def tagged_pairs(df: DataFrame, rules: Rules = BLOCKING_RULES) -> DataFrame:
 
 
 def block_stats(df: DataFrame, rules: Rules = BLOCKING_RULES) -> DataFrame:
-    """rule, blocks, largest_block, pairs, largest_pairs from block sizes alone, before any join is made."""
-    out = []
-    for name, columns in rules:
-        known = df.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns]))
-        sizes = known.groupBy(*columns).agg(F.count(F.lit(1)).alias("n"))
-        pairs = (F.col("n") * (F.col("n") - 1) / 2).cast("long")
-        out.append(sizes.agg(F.lit(name).alias("rule"), F.count(F.lit(1)).alias("blocks"), F.coalesce(F.max("n"), F.lit(0)).alias("largest_block"), F.coalesce(F.sum(pairs), F.lit(0)).alias("pairs"), F.coalesce(F.max(pairs), F.lit(0)).alias("largest_pairs")))
-    return reduce(DataFrame.unionByName, out)
+    """rule, blocks, largest_block, pairs, largest_pairs from block sizes alone, in one scan, before any join is made."""
+    known = [F.when(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns]), F.struct(F.lit(name).alias("rule"), F.array(*[F.col(c).cast("string") for c in columns]).alias("key"))) for name, columns in rules]
+    blocks = df.select(F.explode(F.array_compact(F.array(*known))).alias("b")).groupBy("b.rule", "b.key").agg(F.count(F.lit(1)).alias("n"))
+    pairs = F.expr("n * (n - 1) div 2")
+    found = blocks.groupBy("rule").agg(F.count(F.lit(1)).alias("blocks"), F.max("n").alias("largest_block"), F.sum(pairs).alias("pairs"), F.max(pairs).alias("largest_pairs"))
+    names = df.sparkSession.createDataFrame([(name,) for name, _ in rules], "rule string")
+    return names.join(found, "rule", "left").na.fill(0)
 
 
 def largest_block_key(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import MATCH_THRESHOLD, REVIEW_THRESHOLD, SWEEP
+from ..ranking import order_statistics
 from .blocking import PAIR
 
 
@@ -68,8 +69,10 @@ def score_support(pairs: DataFrame, label: str = "is_positive", score: str = "ma
 
 
 def score_distribution(pairs: DataFrame, score: str = "match_probability") -> DataFrame:
-    q = F.percentile(score, [0.0, 0.01, 0.025, 0.05, 0.1, 0.5, 0.9, 1.0])
-    return pairs.agg(F.count(score).alias("n"), F.avg(score).alias("mean"), F.stddev(score).alias("std"), q.alias("q")).select("n", "mean", "std", *[F.col("q")[i].alias(f"q{name}") for i, name in enumerate(("0", "1", "2_5", "5", "10", "50", "90", "100"))])
+    names, places = ("0", "1", "2_5", "5", "10", "50", "90", "100"), [0.0, 0.01, 0.025, 0.05, 0.1, 0.5, 0.9, 1.0]
+    found = order_statistics(pairs, score, places)
+    summary = pairs.agg(F.count(score).alias("n"), F.avg(score).alias("mean"), F.stddev(score).alias("std"))
+    return summary.select("n", "mean", "std", *[F.lit(v).cast("double").alias(f"q{n}") for n, v in zip(names, found, strict=True)])
 
 
 def b_cubed(predicted: DataFrame, truth: DataFrame) -> DataFrame:
@@ -208,10 +211,70 @@ def recovery_by_count(pairs: DataFrame, scored: DataFrame, threshold: float = MA
     return j.groupBy("damaged").agg(F.count(F.lit(1)).alias("pairs"), F.count_if(p >= threshold).alias("recovered"), F.count_if(p.isNull()).alias("never_scored"))
 
 
+def arm(e: DataFrame, name: str) -> DataFrame:
+    n = F.col("n")
+    return e.groupBy("entity_id").agg(F.count(F.lit(1)).alias("n")).agg(F.lit(name).alias("arm"), F.count(F.lit(1)).alias("entities"), F.max("n").alias("largest_entity"), F.count_if(n >= 2).alias("entities_size_ge2"), F.coalesce(F.sum(F.when(n >= 2, n)), F.lit(0)).alias("records_in_multi"))
+
+
 def canary(entities_a: DataFrame, entities_b: DataFrame) -> DataFrame:
     """arm, entities, largest_entity, entities_size_ge2, records_in_multi of two arms."""
-    def stats(e: DataFrame, arm: str) -> DataFrame:
-        n = F.col("n")
-        return e.groupBy("entity_id").agg(F.count(F.lit(1)).alias("n")).agg(F.lit(arm).alias("arm"), F.count(F.lit(1)).alias("entities"), F.max("n").alias("largest_entity"), F.count_if(n >= 2).alias("entities_size_ge2"), F.coalesce(F.sum(F.when(n >= 2, n)), F.lit(0)).alias("records_in_multi"))
+    return arm(entities_a, "a").unionByName(arm(entities_b, "b"))
+
+
+def threshold_canary(base: DataFrame, lowered: DataFrame, band: DataFrame, labels: DataFrame) -> DataFrame:
+    """One row: whether a lower threshold is safe. ``base`` and ``lowered`` are the entity maps of the same scored pairs at both
+    thresholds, ``band`` the pairs between them, ``labels`` (record ids, is_positive) what people say.
+
+    The gate: every pair of the band has become one entity; none of them is labelled different; the largest entity has not
+    grown; as many entities have gone as the band has pairs; every pair of the band is labelled, and as a match.
+    """
+    look = lambda s: lowered.select(F.col("record_id").alias(f"record_id_{s}"), F.col("entity_id").alias(f"e_{s}"))
+    j = band.select(*PAIR).join(look("l"), PAIR[0], "left").join(look("r"), PAIR[1], "left").join(labels.select(*PAIR, "is_positive"), PAIR, "left")
+    seen = j.agg(F.count(F.lit(1)).alias("review_pairs"), F.count_if(F.col("e_l") == F.col("e_r")).alias("merged"), F.count("is_positive").alias("labelled"), F.count_if(~F.col("is_positive")).alias("false_merges"))
+    side = lambda e, s: arm(e, s).select(F.col("entities").alias(f"entities_{s}"), F.col("largest_entity").alias(f"largest_{s}"), F.col("records_in_multi").alias(f"in_multi_{s}"))
+    one = seen.crossJoin(side(base, "base")).crossJoin(side(lowered, "lowered"))  # single rows
+    gate = {
+        "review_pairs_merged": F.col("merged") == F.col("review_pairs"),
+        "no_false_merge": F.col("false_merges") == 0,
+        "largest_entity_not_increased": F.col("largest_lowered") <= F.col("largest_base"),
+        "entity_delta_equals_review_pairs": F.col("entities_base") - F.col("entities_lowered") == F.col("review_pairs"),
+        "band_all_labelled_match": (F.col("labelled") == F.col("review_pairs")) & (F.col("false_merges") == 0),
+    }
+    out = one.withColumns(gate)
+    whole = F.lit(True)
+    for name in gate:
+        whole = whole & F.col(name)
+    return out.withColumn("verdict", F.when(whole, "PASS").otherwise("FAIL"))
+
+
+def layers(records: DataFrame, pairs: DataFrame, entities: DataFrame, labels: DataFrame | None = None, threshold: float = MATCH_THRESHOLD, review: float = REVIEW_THRESHOLD) -> DataFrame:
+    """layer, metric, value: blocking, linkage, decision and entity, each by what it alone can show. ``pairs`` are all
+    candidates, scored; a slice of the records gives the evaluation of that scope."""
+    ids = records.select("record_id")
+    inside = lambda df: df.join(ids.withColumnRenamed("record_id", PAIR[0]), PAIR[0], "left_semi").join(ids.withColumnRenamed("record_id", PAIR[1]), PAIR[1], "left_semi")
+    pairs, truth = inside(pairs), device_truth(records)
+    mapped = entities.join(ids, "record_id", "left_semi")
+    p = F.col("match_probability")
 
-    return stats(entities_a, "a").unionByName(stats(entities_b, "b"))
+    def rows(layer: str, one: DataFrame) -> DataFrame:
+        metrics = F.array(*[F.struct(F.lit(layer).alias("layer"), F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in one.columns])
+        return one.select(F.explode(metrics).alias("m")).select("m.*")
+
+    hit = truth.join(pairs.select(*PAIR, F.lit(1).alias("hit")).distinct(), PAIR, "left")
+    blocking = hit.agg(F.count(F.lit(1)).alias("reference_pairs"), F.count("hit").alias("generated"), F.count_if(F.col("hit").isNull()).alias("never_generated"), F.round(F.count("hit") / F.nullif(F.count(F.lit(1)), F.lit(0)), 6).alias("recall_ceiling"))
+    linkage = truth_scoring(truth, pairs.where(p >= threshold), records_with_device(records))
+    decision = pairs.agg(F.count(F.lit(1)).alias("candidates"), F.count_if(p >= threshold).alias("match"), F.count_if((p >= review) & (p < threshold)).alias("review"), F.count_if(p < review).alias("non_match"), F.count_if(p >= 1.0).alias("at_one"))
+    sizes = mapped.groupBy("entity_id").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("records"), F.count(F.lit(1)).alias("entities"), F.count_if(F.col("n") > 1).alias("multi_record_entities"), F.max("n").alias("largest_entity"))
+    out = rows("blocking", blocking).unionByName(rows("linkage", linkage)).unionByName(rows("decision", decision)).unionByName(rows("entity", sizes)).unionByName(rows("entity", device_reference(mapped, records, truth)))
+    if labels is not None:
+        gold = confusion(inside(labels).join(pairs, PAIR).select("is_positive", "match_probability"), F.col("is_positive"), p, [threshold])
+        out = out.unionByName(rows("decision", gold.select("tp", "fp", "fn", "tn")))
+    return out
+
+
+def recovered_entities(before: DataFrame, after: DataFrame, records: DataFrame) -> DataFrame:
+    """One row: new records whose customer is known from before, and how many are in that customer's entity (of its first old record) now."""
+    named = lambda e: e.join(records.select("record_id", "customer_id"), "record_id")
+    wanted = named(before).groupBy("customer_id").agg(F.min_by("entity_id", "record_id").alias("wanted"))
+    fresh = named(after).join(before.select("record_id"), "record_id", "left_anti").join(wanted, "customer_id")
+    return fresh.agg(F.count(F.lit(1)).alias("known"), F.count_if(F.col("entity_id") == F.col("wanted")).alias("recovered"))

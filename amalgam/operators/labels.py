@@ -81,7 +81,9 @@ def exclude_gold(queue: DataFrame, gold: DataFrame) -> DataFrame:
 
 def carry_over(queue: DataFrame, before: DataFrame, columns=("label", "review_status", "reviewer", "reviewer_note")) -> DataFrame:
     """Earlier human answers win over the new queue's empty ones."""
-    old = keyed(before.where(F.col("label").isNotNull()), "__pair").select("__pair", *[F.col(c).alias(f"__{c}") for c in columns]).dropDuplicates(["__pair"])
+    old = keyed(before.where(F.col("label").isNotNull()), "__pair").select("__pair", *[F.col(c).alias(f"__{c}") for c in columns])
+    best = old.groupBy("__pair").agg(F.max(F.struct(*old.columns[1:])).alias("__row"))
+    old = best.select("__pair", *[F.col("__row")[c].alias(c) for c in old.columns[1:]])
     wide = keyed(queue, "__pair").join(old, "__pair", "left")
     return wide.withColumns({c: F.coalesce(F.col(f"__{c}"), F.col(c)) for c in columns}).select(queue.columns)
 
@@ -107,6 +109,14 @@ def load_labels(df: DataFrame, strict: bool = True) -> DataFrame:
     return out.where("__label is not null").select(*PAIR, (F.col("__label") == "match").alias("is_positive")).distinct()
 
 
+def validate_gold(gold: DataFrame, scored: DataFrame) -> DataFrame:
+    """One row: gold_rows, matched_in_preds, missing_pairs (distinct pairs that are not scored), bad_labels."""
+    lab = canonical(gold).withColumn("__label", label_of(F.col("label")))
+    missing = lab.select(*PAIR).distinct().join(canonical(scored).select(*PAIR), PAIR, "left_anti").agg(F.count(F.lit(1)).alias("missing_pairs"))
+    rows = lab.agg(F.count(F.lit(1)).alias("gold_rows"), F.count_if(F.col("__label").isNull()).alias("bad_labels"))
+    return rows.crossJoin(missing).select("gold_rows", (F.col("gold_rows") - F.col("missing_pairs")).alias("matched_in_preds"), "missing_pairs", "bad_labels")  # one row by one row
+
+
 def promote(sources: DataFrame, seq: str = "seq") -> DataFrame:
     """Reviewed rows as gold: ids in order, known labels only, the last answer of each pair."""
     known = canonical(sources).withColumn("label", label_of(F.col("label"))).where("label is not null")

@@ -6,9 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def drawn(*key: Column) -> Column:
+    """A number below 2 ** 32 that follows from the key's text, in Spark as in any SQL with md5."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *[k.cast("string") for k in key])), 1, 8), 16, 10).cast("long")
+
+
 def _at(key: Column, low: int, high: Column) -> Column:
-    """A 0-based place in low..high-1 by hash of ``key``; low where there is none."""
-    return (F.lit(low) + F.pmod(F.xxhash64(key), F.greatest(high - low, F.lit(1)))).cast("int")
+    """A 0-based place in low..high-1 drawn by ``key``; low where there is none."""
+    return (F.lit(low) + drawn(key) % F.greatest(high - low, F.lit(1))).cast("int")
 
 
 def corrupt(value: Column, kind: str, key: Column) -> Column:
@@ -32,7 +37,7 @@ def corrupt(value: Column, kind: str, key: Column) -> Column:
         return F.when(n >= 7, F.concat(head(i), tail(i + 1))).otherwise(value)
     year, month, day = (F.split_part(value, F.lit("-"), F.lit(k)).try_cast("int") for k in (1, 2, 3))
     if kind == "dob_year_shift":
-        shifted = year + F.when(F.pmod(F.xxhash64(key), F.lit(2)) == 0, 1).otherwise(-1)
+        shifted = year + F.when(drawn(key) % 2 == 0, 1).otherwise(-1)
         return F.coalesce(F.when(day.isNotNull() & month.isNotNull(), F.concat(F.lpad(shifted.cast("string"), 4, "0"), F.substring(value, 5, 6))), value)
     if kind == "dob_swap_day_month":
         return F.when((month <= 12) & (day <= 12), F.format_string("%04d-%02d-%02d", year, day, month)).otherwise(value)
@@ -55,8 +60,8 @@ def damaged_copies(records: DataFrame, fields: dict = KINDS, prefix: str = "dmg_
     out = records.withColumn("copy_of", F.col("record_id")).withColumn("record_id", F.concat(F.lit(prefix), "record_id"))
     ops, changes = [], []
     for field, (kinds, share) in fields.items():
-        pick = F.pmod(F.xxhash64(F.lit(field), "copy_of"), F.lit(len(kinds)))
-        chosen = F.pmod(F.xxhash64(F.lit("share"), F.lit(field), "copy_of"), F.lit(1000)) < round(share * 1000)
+        pick = drawn(F.lit(field), F.col("copy_of")) % len(kinds)
+        chosen = drawn(F.lit("share"), F.lit(field), F.col("copy_of")) % 1000 < round(share * 1000)
         value, name = F.col(field), F.lit(None).cast("string")
         for k, kind in enumerate(kinds):
             value = F.when(chosen & (pick == k), corrupt(F.col(field), kind, F.col("copy_of"))).otherwise(value)
@@ -121,7 +126,7 @@ def synthetic_crm(spark, n: int, dup_every: int = 10, near_every: int = 25) -> D
     """``n`` generated customers: every ``dup_every``-th is an exact copy of the row before, every ``near_every``-th a near one."""
     i = F.col("id")
     base = i - F.when((i % dup_every == dup_every - 1) | (i % near_every == near_every - 1), 1).otherwise(0)
-    pick = lambda words, salt: F.element_at(F.array(*[F.lit(w) for w in words]), (F.pmod(F.xxhash64(F.lit(salt), base), F.lit(len(words))) + 1).cast("int"))
+    pick = lambda words, salt: F.element_at(F.array(*[F.lit(w) for w in words]), (drawn(F.lit(salt), base) % len(words) + 1).cast("int"))
     first = pick(("anna", "bima", "citra", "dewi", "eka", "fajar", "gita", "hadi"), 1)
     last = pick(("santoso", "wijaya", "putri", "halim", "lestari", "nugroho"), 2)
     near = (i % near_every == near_every - 1) & (i % dup_every != dup_every - 1)
@@ -131,9 +136,9 @@ def synthetic_crm(spark, n: int, dup_every: int = 10, near_every: int = 25) -> D
         F.when(near, corrupt(first, "drop_letter", i.cast("string"))).otherwise(first).alias("first_name"),
         last.alias("last_name"),
         F.concat(first, F.lit("."), last, base.cast("string"), F.lit("@example.com")).alias("email"),
-        F.format_string("08%010d", F.pmod(F.xxhash64(F.lit(3), base), F.lit(10_000_000_000))).alias("phone_number"),
-        F.date_format(F.date_add(F.lit("1950-01-01").cast("date"), F.pmod(F.xxhash64(F.lit(4), base), F.lit(20_000)).cast("int")), "dd/MM/yyyy").alias("dob"),
-        F.format_string("Jl. Merdeka No. %d", F.pmod(F.xxhash64(F.lit(5), base), F.lit(500))).alias("address"),
+        F.format_string("08%010d", drawn(F.lit(3), base)).alias("phone_number"),
+        F.date_format(F.date_add(F.lit("1950-01-01").cast("date"), (drawn(F.lit(4), base) % 20_000).cast("int")), "dd/MM/yyyy").alias("dob"),
+        F.format_string("Jl. Merdeka No. %d", drawn(F.lit(5), base) % 500).alias("address"),
         pick(("jakarta", "bandung", "medan", "surabaya"), 6).alias("city"),
         pick(("jawa", "sumatra"), 7).alias("state"),
         F.lit("indonesia").alias("country"),

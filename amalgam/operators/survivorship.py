@@ -41,9 +41,9 @@ def lineage(frame: DataFrame) -> DataFrame:
 
 def conflicts(frame: DataFrame, fields: Sequence[str] = MASTER_FIELDS) -> DataFrame:
     """entity_id, conflicted_fields: sorted names of the fields with more than one value; empty where none."""
-    counts = frame.groupBy("entity_id").agg(*[F.count_distinct(f).alias(f) for f in fields])
-    names = F.array(*[F.when(F.col(f) > 1, F.lit(f)) for f in sorted(fields)])
-    return counts.select("entity_id", F.filter(names, lambda x: x.isNotNull()).alias("conflicted_fields"))
+    differ = frame.groupBy("entity_id").agg(*[(F.min(f) != F.max(f)).alias(f) for f in fields])
+    names = F.array(*[F.when(F.col(f), F.lit(f)) for f in sorted(fields)])
+    return differ.select("entity_id", F.filter(names, lambda x: x.isNotNull()).alias("conflicted_fields"))
 
 
 def conflict_values(frame: DataFrame, fields: Sequence[str] = MASTER_FIELDS) -> DataFrame:

@@ -64,9 +64,14 @@ FLAGS_SQL = """l.email_std = r.email_std AS agree_email, l.phone_std = r.phone_s
     l.first_name_std = r.first_name_std AND l.last_name_std = r.last_name_std AS agree_name, l.city_std = r.city_std AS agree_city"""
 
 
+def written(spark, d):
+    """The standardized records, written once: rules join them with themselves many times."""
+    return materialize(standardized(spark, d), "q-records")
+
+
 def scored_pairs(spark, d, keep=()):
     """Candidates under the fixed model, with decisions."""
-    records = standardized(spark, d)
+    records = written(spark, d)
     scored = model.predict(records, FIXED, keep=keep)
     return records, scored.withColumn("decision", decide.decision(F.col("match_probability")))
 
@@ -77,7 +82,7 @@ for _name, _columns in BLOCKING_RULES:
 
 @query(std(f"{pairs_cte()} SELECT * FROM pairs"))
 def block_pairs_union(spark, d):
-    return blocking.or_join(standardized(spark, d)).select(*PAIR, "rule_no")
+    return blocking.or_join(written(spark, d)).select(*PAIR, "rule_no")
 
 
 def _stats_sql(name, columns):
@@ -101,7 +106,7 @@ _TAGGED = " UNION ALL ".join(rule_sql(c, f"'{n}' AS rule, l.record_id AS record_
 
 @query(std(f"{TRUTH_CTE}, {pairs_cte()}, tagged AS ({_TAGGED} UNION ALL SELECT '__union__', record_id_l, record_id_r FROM pairs) SELECT rule, count(*) AS pairs, count(t.record_id_l) AS covered FROM tagged p LEFT JOIN truth t ON p.record_id_l = t.record_id_l AND p.record_id_r = t.record_id_r GROUP BY 1"))
 def block_coverage(spark, d):
-    records = standardized(spark, d)
+    records = written(spark, d)
     return blocking.rule_coverage(records, evaluate.device_truth(records))
 
 
@@ -110,40 +115,55 @@ def device_truth(spark, d):
     return evaluate.device_truth(standardized(spark, d))
 
 
-@query("""WITH n AS (SELECT DISTINCT p_name FROM part) SELECT a.p_name AS a, b.p_name AS b, round(jaro_winkler_similarity(a.p_name, b.p_name), 6) AS jw FROM n a JOIN n b ON a.p_name < b.p_name""")
+_NAMES = "WITH n AS (SELECT DISTINCT p_name, split_part(p_name, ' ', 1) AS first FROM part)"
+_PAIRED = "FROM n a JOIN n b ON a.first = b.first AND a.p_name < b.p_name"
+
+
+def _names_in_pairs(spark, d):
+    """Distinct names that share their first word."""
+    n = table(spark, d, "part").select("p_name", F.substring_index("p_name", " ", 1).alias("first")).distinct()
+    return n.select("first", F.col("p_name").alias("a")).join(n.select("first", F.col("p_name").alias("b")), "first").where("a < b")
+
+
+@query(f"{_NAMES} SELECT a.p_name AS a, b.p_name AS b, round(jaro_winkler_similarity(a.p_name, b.p_name), 6) AS jw {_PAIRED}")
 def jaro_winkler_pairs(spark, d):
-    n = table(spark, d, "part").select("p_name").distinct()
-    a, b = n.withColumnRenamed("p_name", "a"), n.withColumnRenamed("p_name", "b")
-    return a.join(b, F.col("a") < F.col("b")).select("a", "b", F.round(jaro_winkler_col(F.col("a"), F.col("b")), 6).alias("jw"))
+    return _names_in_pairs(spark, d).select("a", "b", F.round(jaro_winkler_col(F.col("a"), F.col("b")), 6).alias("jw"))
 
 
-@query(None)
+def indel_sql(a: str, b: str) -> str:
+    """100 * 2 * longest common subsequence / length: rows of the dynamic program as bits, for texts of up to 60 letters."""
+    places = f"list_sum(list_transform(range(1, length({a}) + 1), lambda i: CASE WHEN substr({a}, i, 1) = substr({b}, k, 1) THEN CAST(1 AS HUGEINT) << (i - 1)::INT ELSE 0 END))"
+    full = f"((CAST(1 AS HUGEINT) << length({a})::INT) - 1)"
+    masks = f"list_transform(range(1, length({b}) + 1), lambda k: CAST({places} AS HUGEINT))"
+    row = f"list_reduce(list_prepend({full}, {masks}), lambda row, hit: ((row + (row & hit)) | (row - (row & hit))) & {full})"
+    return f"200.0 * (length({a}) - bit_count({row})) / (length({a}) + length({b}))"
+
+
+@query(f"{_NAMES} SELECT a, b, round({indel_sql('a', 'b')}, 6) AS ratio FROM (SELECT a.p_name AS a, b.p_name AS b {_PAIRED})")
 def indel_ratio_pairs(spark, d):
-    n = table(spark, d, "part").select("p_name").distinct()
-    a, b = n.withColumnRenamed("p_name", "a"), n.withColumnRenamed("p_name", "b")
-    return a.join(b, F.col("a") < F.col("b")).select("a", "b", F.round(indel_ratio_col(F.col("a"), F.col("b")), 6).alias("ratio"))
+    return _names_in_pairs(spark, d).select("a", "b", F.round(indel_ratio_col(F.col("a"), F.col("b")), 6).alias("ratio"))
 
 
 @query(std(f"{SILVER_CTE} SELECT record_id_l, record_id_r, label, evidence FROM silver"))
 def silver_labels(spark, d):
-    return labels.silver(standardized(spark, d))
+    return labels.silver(written(spark, d))
 
 
 @query(std(f"{SILVER_CTE} SELECT label, count(*) AS pairs, count(*) FILTER (l.customer_id = r.customer_id) AS same_customer FROM silver JOIN std l ON l.record_id = record_id_l JOIN std r ON r.record_id = record_id_r GROUP BY 1"))
 def customer_id_agreement(spark, d):
-    records = standardized(spark, d)
+    records = written(spark, d)
     return labels.customer_id_agreement(records, labels.silver(records))
 
 
 @query(std(f"{pairs_cte()} SELECT record_id_l, record_id_r, {FLAGS_SQL} FROM pairs JOIN std l ON l.record_id = record_id_l JOIN std r ON r.record_id = record_id_r"))
 def agree_flags(spark, d):
-    records = standardized(spark, d)
+    records = written(spark, d)
     return labels.agreement_flags(blocking.or_join(records), records)
 
 
 @query(std(f"{pairs_cte()}, {gamma_cte()} SELECT * FROM g"))
 def gamma_vectors(spark, d):
-    records = standardized(spark, d)
+    records = written(spark, d)
     levels = comparison.static_comparisons()
     pairs = blocking.attach(blocking.or_join(records).select(*PAIR), records, comparison.needed_columns(levels))
     return comparison.gammas(pairs, levels).select(*PAIR, *[f"gamma_{c.name}" for c in levels])
@@ -151,7 +171,7 @@ def gamma_vectors(spark, d):
 
 @query(std(f"{pairs_cte()}, {gamma_cte()} SELECT gamma_name, gamma_contact, gamma_location, gamma_dob, count(*) AS n FROM g GROUP BY ALL"))
 def gamma_counts(spark, d):
-    records = standardized(spark, d)
+    records = written(spark, d)
     levels = comparison.static_comparisons()
     return model.gamma_counts(blocking.attach(blocking.or_join(records).select(*PAIR), records, comparison.needed_columns(levels)), levels)
 
@@ -170,7 +190,7 @@ _DYNAMIC_SQL = """
 
 @query(std(f"{pairs_cte((('dob_exact', ('dob_std',)), ('name_exact', ('first_name_std', 'last_name_std'))))} SELECT record_id_l, record_id_r, {_DYNAMIC_SQL} FROM pairs JOIN std l ON l.record_id = record_id_l JOIN std r ON r.record_id = record_id_r"))
 def dynamic_gammas(spark, d):
-    records = standardized(spark, d)
+    records = written(spark, d)
     levels = comparison.dynamic_comparisons(["first_name", "last_name", "dob", "city"])
     rules = (("dob_exact", ("dob_std",)), ("name_exact", ("first_name_std", "last_name_std")))
     pairs = blocking.attach(blocking.or_join(records, rules).select(*PAIR), records, comparison.needed_columns(levels))
@@ -191,7 +211,7 @@ def u_probabilities(spark, d):
 
 @query(std(f"{pairs_cte((('e', ('email_std',)), ('p', ('phone_pre7',))))}, n AS (SELECT count(*) AS records FROM std), p AS (SELECT count(*) AS pairs FROM pairs) SELECT records, pairs, round(pairs / (records * (records - 1) / 2), 12) AS prior FROM n, p"))
 def lambda_estimate(spark, d):
-    return model.estimate_prior(standardized(spark, d)).select("records", "pairs", F.round("prior", 12).alias("prior"))
+    return model.estimate_prior(written(spark, d)).select("records", "pairs", F.round("prior", 12).alias("prior"))
 
 
 @query(std(f"{SCORED_CTE} SELECT record_id_l, record_id_r, round(match_weight, 6) AS match_weight, round(match_probability, 6) AS match_probability FROM scored"))
@@ -269,6 +289,6 @@ def shadow_models(spark, d):
     """A threshold, a logistic and a boosted-tree classifier on device truth, in folds that no record crosses."""
     from ..operators.shadow import shadow_scores
 
-    records = standardized(spark, d)
+    records = written(spark, d)
     pairs = model.score_pairs(blocking.or_join(records, BLOCKING_RULES).select(*PAIR), records, FIXED)
     return shadow_scores(materialize(pairs, "shadow-pairs"), evaluate.device_truth(records), records)

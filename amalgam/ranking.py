@@ -26,3 +26,25 @@ def top_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int =
     """The first ``n`` rows of each key in ``order``. Spark keeps ``n`` rows a key before it shuffles."""
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return df.withColumn("__rank", rank).where(F.col("__rank") <= n).drop("__rank")
+
+
+def order_statistics(df: DataFrame, column: str, quantiles: list[float]) -> list[float | None]:
+    """Exact quantiles, linear between neighbours, of a column: counts per value, summed up by ranges, and only the values
+    around the wanted places reach the driver."""
+    from .storage import materialize
+
+    values = materialize(df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n")), "values")
+    total = values.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    if not total:
+        return [None] * len(quantiles)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = materialize(values.repartitionByRange(parts, "v").withColumn("part", F.spark_partition_id()), "values")
+    starts = ranged.groupBy("part").agg(F.sum("n").alias("sum")).withColumn("before", F.sum("sum").over(Window.orderBy("part")) - F.col("sum")).drop("sum")  # a row per range
+    inside = F.sum("n").over(Window.partitionBy("part").orderBy("v"))
+    placed = ranged.withColumn("stop", inside).join(F.broadcast(starts), "part").withColumn("stop", F.col("stop") + F.col("before"))
+    places = [q * (total - 1) for q in quantiles]
+    ranks = sorted({int(p) for p in places} | {min(total - 1, int(p) + 1) for p in places})
+    wanted = F.exists(F.array(*[F.lit(r) for r in ranks]), lambda r: (r < F.col("stop")) & (r >= F.col("stop") - F.col("n")))
+    found = placed.where(wanted).select("v", "n", "stop").collect()
+    at = lambda r: next(x.v for x in found if x.stop - x.n <= r < x.stop)
+    return [at(int(p)) + (p - int(p)) * (at(min(total - 1, int(p) + 1)) - at(int(p))) for p in places]

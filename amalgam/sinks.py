@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
 import uuid
 from collections.abc import Sequence
 from pathlib import Path
@@ -15,22 +14,21 @@ from .functions.text import label_of
 from .operators.labels import canonical, keyed
 from .operators.survivorship import plain
 from .ranking import keep_last
+from .storage import read_text, write_text
 
 
 def atomic_text(text: str, path: str) -> None:
-    """A file that is whole or not there."""
-    p = Path(path)
-    p.parent.mkdir(parents=True, exist_ok=True)
-    tmp = p.with_name(f".{p.name}.{uuid.uuid4().hex}")
-    tmp.write_text(text, encoding="utf-8")
-    os.replace(tmp, p)
+    """A file that is whole or as it was."""
+    write_text(path, text)
 
 
 def atomic_json(value, path: str) -> None:
-    atomic_text(json.dumps(value, indent=2, sort_keys=True, default=str), path)
+    """A JSON file that is whole or as it was."""
+    write_text(path, json.dumps(value, indent=2, sort_keys=True, default=str))
 
 
 def append_jsonl(row: dict, path: str) -> None:
+    """One more JSON line; a file on the driver, as logs are."""
     Path(path).parent.mkdir(parents=True, exist_ok=True)
     with open(path, "a", encoding="utf-8") as f:
         f.write(json.dumps(row, sort_keys=True, default=str) + "\n")
@@ -41,34 +39,47 @@ def write_meta(artifact: str, **values) -> None:
 
 
 class Staging:
-    """Versioned tables below one folder: writes go to a run's own folder, and commit moves all pointers to it.
+    """Versioned tables below one folder: writes go to a run's own folders, and one file, the manifest, says which folders
+    make up each table. Commit replaces the manifest in one move, with the id of the batch that was applied: all or nothing.
 
     Readers of the same run see staged tables; others see what was committed last.
     """
 
+    MOST_PARTS = 32
+
     def __init__(self, spark: SparkSession, root: str, run: str | None = None) -> None:
         self.spark, self.root, self.run, self.staged = spark, root.rstrip("/"), run or uuid.uuid4().hex, {}
 
-    def _pointer(self, name: str) -> Path:
-        return Path(f"{self.root}/{name}.pointer")
+    def manifest(self) -> dict:
+        return json.loads(read_text(f"{self.root}/manifest.json") or '{"tables": {}, "batch": null}')
+
+    def paths(self, name: str) -> list[str]:
+        return self.staged.get(name) or self.manifest()["tables"].get(name, [])
 
     def write(self, df: DataFrame, name: str) -> None:
+        """The whole table anew."""
         path = f"{self.root}/{name}/run_id={self.run}"
         df.write.mode("overwrite").parquet(path)
-        self.staged[name] = path
-
-    def path(self, name: str) -> str | None:
-        p = self._pointer(name)
-        return self.staged.get(name) or (p.read_text(encoding="utf-8") if p.exists() else None)
+        self.staged[name] = [path]
+
+    def append(self, df: DataFrame, name: str) -> None:
+        """More rows of the table; its other parts stay, until there are so many that they are written as one."""
+        before = self.paths(name)
+        if len(before) >= self.MOST_PARTS:
+            self.write(self.spark.read.parquet(*before).unionByName(df, allowMissingColumns=True), name)
+            return
+        path = f"{self.root}/{name}/run_id={self.run}"
+        df.write.mode("overwrite").parquet(path)
+        self.staged[name] = [*before, path]
 
     def read(self, name: str) -> DataFrame | None:
-        path = self.path(name)
-        return self.spark.read.parquet(path) if path else None
+        paths = self.paths(name)
+        return self.spark.read.option("mergeSchema", len(paths) > 1).parquet(*paths) if paths else None
 
-    def commit(self) -> list[str]:
+    def commit(self, batch: int | None = None) -> list[str]:
+        now = self.manifest()
         names = sorted(self.staged)
-        for name in names:
-            atomic_text(self.staged[name], str(self._pointer(name)))
+        atomic_json({"tables": now["tables"] | self.staged, "batch": now["batch"] if batch is None else batch}, f"{self.root}/manifest.json")
         self.staged = {}
         return names
 
@@ -79,6 +90,18 @@ class Staging:
         return bool(self.staged)
 
 
+def one_per_key(df: DataFrame, key: Sequence[str], seq: str | None) -> DataFrame:
+    """The last row of each key by ``seq``; without one, the greatest row, so that reruns agree."""
+    key = list(key)
+    if seq:
+        return keep_last(df, key, seq)
+    rest = [c for c in df.columns if c not in key]
+    if not rest:
+        return df.distinct()
+    best = df.groupBy(*key).agg(F.max(F.struct(*rest)).alias("__row"))
+    return best.select(*key, *[F.col("__row")[c].alias(c) for c in rest]).select(df.columns)
+
+
 def append_new(old: DataFrame, extra: DataFrame, key: Sequence[str] | None = None) -> DataFrame:
     """Old rows and, by name, extra ones whose key is not there yet."""
     fresh = extra.join(old.select(*key), list(key), "left_anti") if key else extra
@@ -89,10 +112,12 @@ def replace_rows(old: DataFrame, new: DataFrame, key: str = "record_id") -> Data
     return old.join(new.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True)
 
 
-def upsert(old: DataFrame, new: DataFrame, key: Sequence[str], update: bool = True) -> DataFrame:
-    """INSERT ... ON CONFLICT (key) DO UPDATE or NOTHING; only columns of the target are written, others keep their value."""
+def upsert(old: DataFrame, new: DataFrame, key: Sequence[str], update: bool = True, seq: str | None = None) -> DataFrame:
+    """INSERT ... ON CONFLICT (key) DO UPDATE or NOTHING; only columns of the target are written, others keep their value. Of
+    rows with one key the last by ``seq`` counts."""
     key = list(key)
-    new = new.select(*[c for c in new.columns if c in old.columns]).dropDuplicates(key)
+    new = one_per_key(new.select(*[c for c in new.columns if c in old.columns or c == seq]), key, seq)
+    new = new.select(*[c for c in new.columns if c in old.columns])
     if not update:
         return append_new(old, new, key)
     marked = new.select(*key, *[F.col(c).alias(f"__new_{c}") for c in new.columns if c not in key], F.lit(True).alias("__hit"))
@@ -101,9 +126,64 @@ def upsert(old: DataFrame, new: DataFrame, key: Sequence[str], update: bool = Tr
     return both.select(*[F.col(c) if c in key or c not in new.columns else value(c) for c in old.columns])
 
 
-def upsert_jdbc(df: DataFrame, url: str, table: str, mode: str = "append", **options: str) -> None:
-    """Rows to a database table, written in parallel from the executors."""
-    df.write.format("jdbc").options(url=url, dbtable=table, **options).mode(mode).save()
+def merge_statement(target: str, source: str, columns: Sequence[str], key: Sequence[str], update: bool, dialect: str) -> str:
+    """One statement that moves rows of ``source`` into ``target``: INSERT ... ON CONFLICT for PostgreSQL, MERGE for others."""
+    name = lambda c: '"' + c.replace('"', '""') + '"'
+    rest, listed = [c for c in columns if c not in key], ", ".join(map(name, columns))
+    if dialect == "postgresql":
+        what = "UPDATE SET " + ", ".join(f"{name(c)} = EXCLUDED.{name(c)}" for c in rest) if update and rest else "NOTHING"
+        return f"INSERT INTO {target} ({listed}) SELECT {listed} FROM {source} ON CONFLICT ({', '.join(map(name, key))}) DO {what}"
+    on = " AND ".join(f"t.{name(c)} = s.{name(c)}" for c in key)
+    hit = " WHEN MATCHED THEN UPDATE SET " + ", ".join(f"{name(c)} = s.{name(c)}" for c in rest) if update and rest else ""
+    return f"MERGE INTO {target} t USING {source} s ON {on}{hit} WHEN NOT MATCHED THEN INSERT ({listed}) VALUES ({', '.join(f's.{name(c)}' for c in columns)})"
+
+
+def run_sql(spark: SparkSession, url: str, *statements: str, user: str | None = None, password: str | None = None, driver: str | None = None, **_: str) -> None:
+    """Statements in one transaction of a database, from the driver."""
+    jvm = spark._jvm
+    if driver:
+        jvm.java.lang.Class.forName(driver)
+    connection = jvm.java.sql.DriverManager.getConnection(url, *([user, password or ""] if user else []))
+    try:
+        connection.setAutoCommit(False)
+        for text in statements:
+            statement = connection.createStatement()
+            statement.execute(text)
+            statement.close()
+        connection.commit()
+    except Exception:
+        connection.rollback()
+        raise
+    finally:
+        connection.close()
+
+
+def upsert_jdbc(df: DataFrame, url: str, table: str, key: Sequence[str], update: bool = True, seq: str | None = None, dialect: str | None = None, **options: str) -> None:
+    """Upserts ``df`` into a database table that is there: rows go to a staging table, in parallel from the executors, and from
+    it in one statement to ``table``, so a run that is repeated changes nothing. Only the table's own columns are written."""
+    from .sources.database import quoted
+
+    spark, key = df.sparkSession, list(key)
+    target = quoted(table, None)
+    have = spark.read.format("jdbc").options(url=url, dbtable=target, **options).load().columns
+    columns = [c for c in df.columns if c in have]
+    if not set(key) <= set(columns):
+        raise ValueError(f"{table} or the rows lack a key column of {key}")
+    last = one_per_key(df.select(*columns, *([seq] if seq and seq not in columns else [])), key, seq).select(columns)
+    stage = f"stage_{uuid.uuid4().hex[:12]}"
+    last.write.format("jdbc").options(url=url, dbtable=quoted(stage, None), **options).save()
+    kind = dialect or ("postgresql" if url.startswith("jdbc:postgresql") else "merge")
+    run_sql(spark, url, merge_statement(target, quoted(stage, None), columns, key, update, kind), f"DROP TABLE {quoted(stage, None)}", **options)
+
+
+def save_to_table(df: DataFrame, url: str, table: str, seq: str | None = None, **options: str) -> None:
+    """Rows to a table by the rule that its columns imply; tables without one are refused."""
+    from .sources.database import quoted
+
+    rule = conflict_policy(df.sparkSession.read.format("jdbc").options(url=url, dbtable=quoted(table, None), **options).load().columns)
+    if rule is None:
+        raise ValueError(f"no rule tells how rows of {table} meet")
+    upsert_jdbc(df, url, table, rule[0], rule[1], seq, **options)
 
 
 def conflict_policy(columns: Sequence[str]) -> tuple[list[str], bool] | None:
@@ -124,8 +204,7 @@ def processed_rows(records: DataFrame, run_id: str) -> DataFrame:
 def pair_rows(pairs: DataFrame, run_id: str, scope: str, seq: str | None = None) -> DataFrame:
     """Pairs with ids in order, the last of each."""
     out = canonical(pairs)
-    out = keep_last(out, ["record_id_l", "record_id_r"], seq) if seq else out.dropDuplicates(["record_id_l", "record_id_r"])
-    return out.withColumns({"run_id": F.lit(run_id), "scope": F.lit(scope)})
+    return one_per_key(out, ["record_id_l", "record_id_r"], seq).withColumns({"run_id": F.lit(run_id), "scope": F.lit(scope)})
 
 
 def membership_rows(entities: DataFrame, records: DataFrame) -> DataFrame:
@@ -212,3 +291,33 @@ def export_csv(df: DataFrame, path: str) -> None:
 
 def export_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
+
+
+def persist_run(spark: SparkSession, root: str, run_id: str, records: DataFrame, pairs: DataFrame, entities: DataFrame, master: DataFrame, gold: DataFrame | None = None, scope: str = "full", version: str = "", snapshot: bool = True) -> dict[str, int]:
+    """All tables of a run, committed together: rows by table. A run that is repeated replaces its own rows and adds nothing."""
+    state = Staging(spark, root, run_id)
+    old = {n: state.read(n) for n in ("entity_conflict", "master_customer_snapshot")}
+    tables = {
+        "processed_customers": processed_rows(records, run_id),
+        "dedup_outputs": pair_rows(pairs, run_id, scope),
+        "entity_map": entities.withColumn("run_id", F.lit(run_id)),
+        "entity_membership": membership_rows(entities, records),
+        "entity_conflict": conflict_rows(master, old["entity_conflict"]),
+        "master_customer_current": master_rows(master, run_id, scope, version),
+    }
+    if gold is not None:
+        tables["gold_labels"] = gold
+    if snapshot:
+        tables["master_customer_snapshot"] = snapshot_rows(master, run_id, old["master_customer_snapshot"])
+    for name, df in tables.items():
+        committed = state.manifest()["tables"].get(name, [])
+        if f"{state.root}/{name}/run_id={run_id}" in committed:
+            # the folder is being read: the same rows again take the place of those there in a folder of their own
+            again = Staging(spark, root, f"{run_id}-{uuid.uuid4().hex[:8]}")
+            again.write(df, name)
+            state.staged |= again.staged
+        else:
+            state.write(df, name)
+    counts = {name: state.read(name).count() for name in tables}
+    state.commit()
+    return counts

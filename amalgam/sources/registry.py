@@ -4,9 +4,8 @@ from __future__ import annotations
 
 import json
 from dataclasses import asdict, dataclass
-from pathlib import Path
 
-from ..sinks import atomic_text
+from ..storage import read_text, write_text
 
 
 @dataclass(frozen=True)
@@ -26,8 +25,7 @@ class Batch:
 class Registry:
     def __init__(self, path: str) -> None:
         self.path = path
-        p = Path(path)
-        self.batches = [Batch(**b) for b in json.loads(p.read_text(encoding="utf-8"))] if p.exists() else []
+        self.batches = [Batch(**b) for b in json.loads(read_text(path) or "[]")]
 
     def next_start(self) -> int:
         """After the greatest index ever given, so removing a batch in the middle can't bring ids back."""
@@ -53,4 +51,4 @@ class Registry:
         return out + [f"{total} rows are registered, {stored_rows} stored"] * (total != stored_rows)
 
     def _save(self) -> None:
-        atomic_text(json.dumps([asdict(b) for b in self.batches], indent=2), self.path)
+        write_text(self.path, json.dumps([asdict(b) for b in self.batches], indent=2))

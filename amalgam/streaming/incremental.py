@@ -1,7 +1,8 @@
 """New and changed records against stored entities, as micro-batches.
 
 State lives in versioned tables (:class:`amalgam.sinks.Staging`); a batch commits all of them or none,
-and its id is recorded with them, so a batch that Spark delivers again changes nothing.
+with its id, in one move of one file, so a batch that Spark delivers again changes nothing. A batch adds its
+records, its pairs and the rows of the entity map that it changes; what was there is not written again.
 """
 
 from __future__ import annotations
@@ -10,7 +11,6 @@ import hashlib
 import json
 import time
 from collections.abc import Callable, Sequence
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,8 +19,10 @@ from ..config import Settings
 from ..operators import decide, entities as E
 from ..operators.blocking import PAIR, new_pairs, touching_old_rows
 from ..operators.model import Model, score_pairs
-from ..sinks import Staging, append_new, atomic_json, replace_rows
-from ..storage import materialize
+from ..ranking import keep_last
+from ..sinks import Staging, append_new, atomic_json, one_per_key, replace_rows
+from ..sources.registry import Registry
+from ..storage import create_text, materialize, move_away, read_text
 
 
 class ReplayError(ValueError):
@@ -94,6 +96,12 @@ def touching_edges(edges: DataFrame, ids: DataFrame) -> DataFrame:
     return hit[0].union(hit[1]).distinct()
 
 
+def current_entities(state: Staging) -> DataFrame | None:
+    """record_id, entity_id as the last batch that touched each record left them."""
+    stored = state.read("entities")
+    return None if stored is None else keep_last(stored, ["record_id"], "batch").select("record_id", "entity_id")
+
+
 class Linker:
     """State and the ``foreachBatch`` function of a linking stream."""
 
@@ -102,20 +110,20 @@ class Linker:
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         state = Staging(self.spark, self.root, f"batch-{batch_id}")
-        log = Path(f"{self.root}/batches.json")
-        done = json.loads(log.read_text()) if log.exists() else []
-        if batch_id in done:
+        done = state.manifest()["batch"]
+        if done is not None and batch_id <= done:
             return
-        new = self.prepare(batch)
-        records, entity_map, pairs = (state.read(n) for n in ("records", "entities", "pairs"))
+        new = materialize(self.prepare(batch), "batch")
+        records, entity_map = state.read("records"), current_entities(state)
         if records is None:
             records, entity_map = new.limit(0), self.spark.createDataFrame([], "record_id string, entity_id string")
         found, after = link_batch(new, records, entity_map, self.model, self.settings)
-        state.write(after, "entities")
-        state.write(append_new(records, new), "records")
-        state.write(found if pairs is None else append_new(pairs, found, PAIR), "pairs")
-        state.commit()
-        atomic_json([*done, batch_id], str(log))
+        before = entity_map.select("record_id", F.col("entity_id").alias("__was"))
+        changed = after.join(before, "record_id", "left").where("not entity_id <=> __was").drop("__was")
+        state.append(changed.withColumn("batch", F.lit(batch_id).cast("long")), "entities")
+        state.append(new, "records")
+        state.append(found, "pairs")
+        state.commit(batch_id)
 
     def start(self, source: DataFrame, checkpoint: str, every: str | None = None):
         """Runs the stream: until all there is has been read, or periodically."""
@@ -130,8 +138,7 @@ class Watermarks:
         self.path = path
 
     def _all(self) -> dict:
-        p = Path(self.path)
-        return json.loads(p.read_text(encoding="utf-8")) if p.exists() else {}
+        return json.loads(read_text(self.path) or "{}")
 
     def read(self, source: str, table: str) -> dict | None:
         return self._all().get(f"{source}::{table}")
@@ -141,11 +148,12 @@ class Watermarks:
 
 
 def ingest(df: DataFrame, marks: Watermarks, source: str, table: str, apply: Callable[[DataFrame], None], column: str = "updated_at", pk: str | None = None) -> int:
-    """Fetches what is new, applies it, and only then moves the watermark."""
+    """Fetches what is new, applies it, and only then moves the watermark. The batch is read from the source once and written to
+    the shared folder, so a row that arrives meanwhile is in the next one."""
     from ..sources.database import fetch, latest_watermark
 
     at = marks.read(source, table) or {}
-    batch = fetch(df, column, at.get("value"), pk, at.get("last_pk"))
+    batch = materialize(fetch(df, column, at.get("value"), pk, at.get("last_pk")), "ingested")
     n = batch.count()
     if n:
         apply(batch)
@@ -154,21 +162,48 @@ def ingest(df: DataFrame, marks: Watermarks, source: str, table: str, apply: Cal
     return n
 
 
+def content_digest(df: DataFrame) -> str:
+    """A digest of a table's rows, whatever their order."""
+    row = F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in sorted(df.columns)]), {"ignoreNullFields": "false"}), 256)
+    part = lambda k: F.conv(F.substring("h", 1 + 15 * k, 15), 16, 10).cast("decimal(38,0)")
+    sums = df.select(row.alias("h")).agg(F.count(F.lit(1)), *[F.sum(part(k)) for k in range(4)]).first()
+    return hashlib.sha256("|".join(map(str, [*sorted(df.columns), *sums])).encode()).hexdigest()
+
+
+def export_batch(df: DataFrame, registry: Registry, folder: str) -> dict:
+    """A batch as CSV (;) in the registry; rows that are registered already are neither written nor numbered again."""
+    digest = content_digest(df)
+    known = next((b for b in registry.batches if b.sha256 == digest), None)
+    if known:
+        return {"status": "already_registered", "rows": known.rows, "batch_id": known.batch_id, "file": known.file}
+    rows = df.count()
+    if not rows:
+        return {"status": "noop", "rows": 0}
+    path = f"{folder.rstrip('/')}/{digest[:16]}"
+    df.write.mode("overwrite").option("header", True).option("sep", ";").csv(path)
+    batch = registry.register(path, rows, digest)
+    return {"status": "exported", "rows": rows, "batch_id": batch.batch_id, "file": path}
+
+
 class RunLock:
     """One run at a time; a lock of a dead or overdue run is taken over."""
 
     def __init__(self, path: str, stale_seconds: float = 7200) -> None:
-        self.path, self.stale = Path(path), stale_seconds
+        self.path, self.stale = path, stale_seconds
 
     def acquire(self, note: str = "", now: float | None = None) -> bool:
+        """Creates the lock, which one of several runs can; an overdue lock is first moved away, which again one can."""
         now = time.time() if now is None else now
-        if self.path.exists() and now - json.loads(self.path.read_text())["start"] <= self.stale:
+        text = json.dumps({"start": now, "note": note})
+        if create_text(self.path, text):
+            return True
+        held = read_text(self.path)
+        if held and now - json.loads(held)["start"] <= self.stale:
             return False
-        atomic_json({"start": now, "note": note}, str(self.path))
-        return True
+        return move_away(self.path) and create_text(self.path, text)
 
     def release(self) -> None:
-        self.path.unlink(missing_ok=True)
+        move_away(self.path)
 
 
 class AlertGate:
@@ -192,4 +227,4 @@ def metric_windows(history: DataFrame, metrics: Sequence[str], width: str = "1 h
 
 def append_stale(log: DataFrame, stale: DataFrame) -> DataFrame:
     """The log with each stale record once."""
-    return append_new(log, stale.dropDuplicates(["record_id"]), ["record_id"])
+    return append_new(log, one_per_key(stale, ["record_id"], None), ["record_id"])

@@ -1,5 +1,3 @@
-import json
-
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,7 +10,7 @@ from amalgam.sinks import Staging
 from amalgam.sources.database import fetch, inspect, latest_watermark, quoted, rename_columns
 from amalgam.sources.files import parse_payload, read_csv_any, read_dataset, sniff_separator
 from amalgam.sources.registry import Registry
-from amalgam.streaming.incremental import AlertGate, Linker, ReplayError, RunLock, Watermarks, apply_staged, check_replay, ingest, link_batch, staging_rows, update_records
+from amalgam.streaming.incremental import AlertGate, Linker, ReplayError, RunLock, Watermarks, apply_staged, check_replay, current_entities, export_batch, ingest, link_batch, staging_rows, update_records
 
 FIXED = model.Model(STATED.prior, STATED.m, STATED.u, (("email_exact", ("email_std",)), ("phone_exact", ("phone_std",)), ("name_dob", ("last_name_std", "dob_std"))))
 CONF = Settings(nfkc=False, date_order="dmy")
@@ -68,12 +66,29 @@ def test_stream(spark, tmp_path):
     q.awaitTermination(240)
     assert q.exception() is None
     state = Staging(spark, str(tmp_path / "state"))
-    assert state.read("records").count() == 90 and state.read("entities").count() == 90
-    assert groups(state.read("entities")) == groups(full_map(prepare(raw))[0])
-    linker(raw.limit(1), json.loads((tmp_path / "state/batches.json").read_text())[0])  # delivered again
+    assert state.read("records").count() == 90 and current_entities(state).count() == 90
+    assert groups(current_entities(state)) == groups(full_map(prepare(raw))[0])
+    assert len(state.paths("records")) == 3  # a batch adds a part, what was there is not written again
+    assert state.read("entities").groupBy("batch").count().count() == 3
+    linker(raw.limit(1), state.manifest()["batch"])  # delivered again
     assert Staging(spark, str(tmp_path / "state")).read("records").count() == 90
 
 
+def test_a_batch_that_breaks_off_leaves_no_trace(spark, tmp_path, monkeypatch):
+    raw = stress.synthetic_crm(spark, 40)
+    prepare = lambda b: standardize(b, Settings(nfkc=False, date_order="dmy", record_id_column="customer_pk"))
+    linker = Linker(spark, str(tmp_path / "state"), FIXED, prepare, CONF)
+    linker(raw.where("customer_pk < 20"), 0)
+    with monkeypatch.context() as m:
+        m.setattr(Staging, "commit", lambda *_: (_ for _ in ()).throw(RuntimeError("lost")))
+        with pytest.raises(RuntimeError):
+            linker(raw.where("customer_pk >= 20"), 1)
+    assert Staging(spark, str(tmp_path / "state")).read("records").count() == 20
+    linker(raw.where("customer_pk >= 20"), 1)  # delivered again
+    state = Staging(spark, str(tmp_path / "state"))
+    assert state.read("records").count() == 40 and groups(current_entities(state)) == groups(full_map(prepare(raw))[0])
+
+
 def test_staging(spark, tmp_path):
     one = Staging(spark, str(tmp_path))
     one.write(spark.range(3), "t")
@@ -88,7 +103,7 @@ def test_staging(spark, tmp_path):
 def test_watermarks(spark, tmp_path):
     df = spark.createDataFrame([(1, "2024-01-01"), (2, "2024-01-02"), (3, "2024-01-02"), (4, "2024-01-03")], "pk int, updated_at string")
     assert [r.pk for r in fetch(df, watermark="2024-01-02").collect()] == [4]
-    assert [r.pk for r in fetch(df, watermark="2024-01-02", pk="pk", last_pk=2).collect()] == [3, 4]
+    assert sorted(r.pk for r in fetch(df, watermark="2024-01-02", pk="pk", last_pk=2).collect()) == [3, 4]
     assert latest_watermark(df, pk="pk") == {"value": "2024-01-03", "last_pk": 4} and latest_watermark(df, "nope") is None
     marks, seen = Watermarks(str(tmp_path / "w.json")), []
     assert ingest(df, marks, "s", "t", lambda b: seen.append(b.count()), pk="pk") == 4 and ingest(df, marks, "s", "t", seen.append, pk="pk") == 0
@@ -97,6 +112,40 @@ def test_watermarks(spark, tmp_path):
     assert marks.read("s", "t")["last_pk"] == 4
 
 
+def test_rows_that_arrive_while_a_batch_is_applied_are_in_the_next(spark, tmp_path):
+    path, marks = str(tmp_path / "source"), Watermarks(str(tmp_path / "w.json"))
+    add = lambda *rows: spark.createDataFrame(rows, "pk int, updated_at string").coalesce(1).write.mode("append").parquet(path)
+    add((1, "2024-01-01"), (2, "2024-01-02"))
+    seen = []
+
+    def apply(batch):
+        add((3, "2024-01-03"))
+        seen.extend(r.pk for r in batch.collect())
+
+    assert ingest(spark.read.parquet(path), marks, "s", "t", apply, pk="pk") == 2
+    assert ingest(spark.read.parquet(path), marks, "s", "t", lambda b: seen.extend(r.pk for r in b.collect()), pk="pk") == 1
+    assert sorted(seen) == [1, 2, 3]
+
+
+def test_export_registers_content_once(spark, tmp_path):
+    registry, df = Registry(str(tmp_path / "r.json")), spark.createDataFrame([(1, None), (2, "x")], "a int, b string")
+    first = export_batch(df, registry, str(tmp_path))
+    assert first["status"] == "exported" and read_csv_any(spark, first["file"]).count() == 2
+    assert export_batch(df.orderBy(F.desc("a")), registry, str(tmp_path))["status"] == "already_registered"
+    other = spark.createDataFrame([(1, "x"), (2, None)], "a int, b string")
+    assert export_batch(other, registry, str(tmp_path))["status"] == "exported" and len(Registry(str(tmp_path / "r.json")).batches) == 2
+
+
+def test_parts_are_written_as_one(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(Staging, "MOST_PARTS", 2)
+    for k in range(5):
+        s = Staging(spark, str(tmp_path), f"r{k}")
+        s.append(spark.range(k, k + 1), "t")
+        s.commit(k)
+    state = Staging(spark, str(tmp_path))
+    assert sorted(r.id for r in state.read("t").collect()) == [0, 1, 2, 3, 4] and len(state.paths("t")) <= 2 and state.manifest()["batch"] == 4
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "a.csv").write_text("id;phone\n1;0811\n2;\n", encoding="utf-8")
     (tmp_path / "b.csv").write_bytes("id,name\n3,Jos\xe9\n".encode("latin-1"))
@@ -120,6 +169,8 @@ def test_registry_lock_gate(tmp_path):
     r.unregister("f1")
     assert r.next_start() == 15 and Registry(str(tmp_path / "r.json")).problems(5) == []
     lock = RunLock(str(tmp_path / "lock"))
-    assert lock.acquire(now=0) and not lock.acquire(now=10) and lock.acquire(now=8000)
+    assert lock.acquire(now=0) and not lock.acquire(now=10) and lock.acquire(now=8000) and not lock.acquire(now=8001)
+    lock.release()
+    assert lock.acquire(now=8002)
     gate, alert = AlertGate(100), {"level": "w", "source": "s", "message": "m"}
     assert gate.should_send(alert, 0) and not gate.should_send(alert, 50) and gate.should_send(alert, 150)
