@@ -1,11 +1,13 @@
 """Token ids of whole texts by a public tokenizer file, computed once per distinct chunk between ASCII white space.
 
-This tokenizer drops white space and neither its normalizer nor its splits reach across it, so the ids
-of a text are those of its chunks in order.
+A tokenizer that drops white space, and neither whose normalizer nor whose splits reach across it, gives a
+text the ids of its chunks in order. Only those that are known to do so are used by chunk; with any other
+file, whole texts are encoded.
 """
 
 from __future__ import annotations
 
+import json
 import os
 from itertools import chain
 
@@ -23,6 +25,22 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: The normalizer and the splits that allow it to encode chunk by chunk.
+NORMALIZER = ["NFC", "Replace", "Lowercase"]
+SPLITS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def chunks_are_apart(tokenizer) -> bool:
+    """Whether a tokenizer drops white space and looks at what stands between on its own."""
+    made = json.loads(tokenizer.to_str())
+    normal, split = (made.get(k) or {} for k in ("normalizer", "pre_tokenizer"))
+    steps = normal.get("normalizers", [])
+    first = (split.get("pretokenizers") or [{}])[0]
+    blank = any(x.get("pattern") == {"Regex": r"\s+"} and x.get("content") == " " for x in steps)
+    cut = first.get("type") == "Split" and first.get("pattern") == {"Regex": SPLITS} and first.get("behavior") == "Removed" and first.get("invert") is True
+    return [x["type"] for x in steps] == NORMALIZER and blank and cut and made["model"].get("end_of_word_suffix") == "</w>"
+
+
 #: Pieces that are encoded as one text.
 JOINED = 500
 _encoders: dict[str, ChunkEncoder] = {}
@@ -43,6 +61,7 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(tokenizer_path(name)), most
+        self.by_chunk = chunks_are_apart(self.tokenizer)
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -94,6 +113,8 @@ class ChunkEncoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts (null: none) one after another, and how many each has."""
+        if not self.by_chunk:
+            return self._ids_of([t or "" for t in texts.to_pylist()])
         words = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
         chunks = words.flatten().dictionary_encode()
         pieces = pc.ascii_split_whitespace(spaced(chunks.dictionary))

@@ -211,6 +211,19 @@ def _shared():
     return _held[0]
 
 
+def test_other_tokenizers_take_whole_texts():
+    from tokenizers import Tokenizer
+
+    from amalgam.llm.tokens import tokenizer_path
+
+    texts = ["A  b\nc", " x", None, "Tab\tHere  ", "Ünï 12"]
+    own = ChunkEncoder("byte_bpe_50k.json")
+    assert not own.by_chunk and ChunkEncoder(huffman.TOKENIZER).by_chunk
+    ids, n = own.encode(pa.array(texts))
+    want = [Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json")).encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert n.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
 def test_files_round_trip(spark, tmp_path):
     rows = [(7, "b b b"), (3, None), (None, "x"), (9, "longer text " * 400), (3, None), (1, "")]
     path = str(tmp_path / "ids")
