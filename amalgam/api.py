@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .config import BUSINESS_RULE_KEYS, EVIDENCE_FIELDS, Settings
+from .config import BUSINESS_RULE_KEYS, EVIDENCE_FIELDS, MASTER_FIELDS, Settings
 from .operators import comparison, decide, entities, model, survivorship
 from .operators.standardize import assert_blocking_columns, standardize
 from .storage import materialize
@@ -28,10 +28,13 @@ def run_pipeline(raw: DataFrame, settings: Settings = Settings(), columns: Seque
 
     Records, pairs and entities are written to the shared folder, so no stage is computed twice.
     """
-    records = materialize(standardize(raw, settings, order), "records")
+    clean = standardize(raw, settings, order)
     levels = comparison.dynamic_comparisons(columns) if columns else comparison.static_comparisons()
     rules = comparison.dynamic_rules(columns, settings.rules) if columns else settings.rules
-    assert_blocking_columns(records, rules)
+    assert_blocking_columns(clean, rules)
+    # what the input does not have is null in golden records and stored tables
+    absent = [c for c in dict.fromkeys([*MASTER_FIELDS, *comparison.needed_columns(levels), "customer_id", "source"]) if c not in clean.columns]
+    records = materialize(clean.withColumns({c: F.lit(None).cast("string") for c in absent}), "records")
     fitted = trained or model.train(records, levels, rules, fixed_m=bool(columns))
     keep = [c for c in dict.fromkeys([*BUSINESS_RULE_KEYS, *EVIDENCE_FIELDS]) if c in records.columns]
     scored = model.predict(records, fitted, levels, keep).withColumn("decision", decide.decision(F.col("match_probability"), settings.match_threshold, settings.review_threshold))

@@ -170,10 +170,14 @@ def upsert_jdbc(df: DataFrame, url: str, table: str, key: Sequence[str], update:
     if not set(key) <= set(columns):
         raise ValueError(f"{table} or the rows lack a key column of {key}")
     last = one_per_key(df.select(*columns, *([seq] if seq and seq not in columns else [])), key, seq).select(columns)
-    stage = f"stage_{uuid.uuid4().hex[:12]}"
-    last.write.format("jdbc").options(url=url, dbtable=quoted(stage, None), **options).save()
+    stage, listed = quoted(f"stage_{uuid.uuid4().hex[:12]}", None), ", ".join('"' + c.replace('"', '""') + '"' for c in columns)
     kind = dialect or ("postgresql" if url.startswith("jdbc:postgresql") else "merge")
-    run_sql(spark, url, merge_statement(target, quoted(stage, None), columns, key, update, kind), f"DROP TABLE {quoted(stage, None)}", **options)
+    run_sql(spark, url, f"CREATE TABLE {stage} AS SELECT {listed} FROM {target} WITH NO DATA", **options)  # the target's own types
+    try:
+        last.write.format("jdbc").options(url=url, dbtable=stage, **options).mode("append").save()
+        run_sql(spark, url, merge_statement(target, stage, columns, key, update, kind), **options)
+    finally:
+        run_sql(spark, url, f"DROP TABLE {stage}", **options)
 
 
 def save_to_table(df: DataFrame, url: str, table: str, seq: str | None = None, **options: str) -> None:
