@@ -76,26 +76,26 @@ def damaged_copies(records: DataFrame, fields: dict = KINDS, prefix: str = "dmg_
 
 
 # Mutations of one value, for diagnostics of the model.
-def typo_name(v: Column) -> Column:
+def second_and_third_swapped(v: Column) -> Column:
     return F.when(F.length(v) < 2, F.concat(v, F.lit("x"))).otherwise(F.concat(F.substring(v, 1, 1), F.substring(v, 3, 1), F.substring(v, 2, 1), F.substring(v, 4, 1_000_000)))
 
 
-def shift_phone(v: Column) -> Column:
+def next_last_digit(v: Column) -> Column:
     last = F.right(v, F.lit(1)).try_cast("int")
     return F.when(last.isNull(), F.concat(v, F.lit("1"))).otherwise(F.concat(F.substring(v, F.lit(1), F.length(v) - 1), ((last + 1) % 10).cast("string")))
 
 
-def switch_domain(v: Column, domain: str = "mail-typo.co") -> Column:
+def at_another_domain(v: Column, domain: str = "elsewhere.example") -> Column:
     return F.when(v.contains("@"), F.concat(F.substring_index(v, "@", 1), F.lit("@" + domain))).otherwise(v)
 
 
-def bump_address_number(v: Column) -> Column:
+def next_house_number(v: Column) -> Column:
     number = F.regexp_extract(v, r"\d+", 0)
     bumped = F.concat(F.regexp_extract(v, r"^(\D*)", 1), (number.try_cast("bigint") + 1).cast("string"), F.regexp_extract(v, r"^\D*\d+(.*)$", 1))
     return F.when(number == "", F.concat(v, F.lit(" 1"))).otherwise(bumped)
 
 
-def shift_dob_year(v: Column) -> Column:
+def a_year_later(v: Column) -> Column:
     year = F.regexp_extract(v, r"^(\d{4})", 1)
     return F.when(year == "", v).otherwise(F.concat((year.try_cast("int") + 1).cast("string"), F.substring(v, 5, 1_000_000)))
 
@@ -107,7 +107,7 @@ def look_alike(v: Column, key: Column) -> Column:
     return F.concat(F.substring(v, F.lit(1), i), F.translate(letter, "oieastb", "0134578"), F.substring(v, i + 2, F.lit(1_000_000)))
 
 
-MUTATIONS = {"first_name_std": typo_name, "phone_std": shift_phone, "email_std": switch_domain, "address_std": bump_address_number, "dob_std": shift_dob_year}
+MUTATIONS = {"first_name_std": second_and_third_swapped, "phone_std": next_last_digit, "email_std": at_another_domain, "address_std": next_house_number, "dob_std": a_year_later}
 
 
 def variants(pairs: DataFrame, fields=tuple(MUTATIONS)) -> DataFrame:

@@ -61,16 +61,10 @@ def entity_summary(spark, d):
     return entities.summary(simple_map(spark, d)[2])
 
 
-@query("""WITH e AS (SELECT user_id AS a, CAST(user_id + (event_id % 7) * 13 AS BIGINT) AS b FROM events WHERE event_id % 50 = 0), w AS (SELECT a, b FROM e UNION SELECT b, a FROM e)
-    , n AS (SELECT a FROM w), reach AS (SELECT a AS node, a AS r FROM n UNION SELECT node, b FROM reach JOIN w ON a = r) SELECT node, min(r) AS component FROM reach GROUP BY 1""".replace("WITH e", "WITH RECURSIVE e"))
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT user_id AS a, CAST(user_id + (event_id % 7) * 13 AS BIGINT) AS b FROM events), w AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+    n AS (SELECT DISTINCT a FROM w), reach AS (SELECT a AS node, a AS r FROM n UNION SELECT node, b FROM reach JOIN w ON a = r) SELECT node, min(r) AS component FROM reach GROUP BY 1""")
 def graph_components(spark, d):
-    e = table(spark, d, "events").where("event_id % 50 = 0").select(F.col("user_id").alias("a"), (F.col("user_id") + F.col("event_id") % 7 * 13).alias("b"))
-    return connected_components(e)
-
-
-@query(None)
-def graph_components_all(spark, d):
-    """Components over the edges of all events; the recursive SQL of ``graph_components`` takes a fiftieth of them."""
+    """Components over the edges of all events."""
     return connected_components(table(spark, d, "events").select(F.col("user_id").alias("a"), (F.col("user_id") + F.col("event_id") % 7 * 13).alias("b")))
 
 

@@ -149,11 +149,11 @@ def corruption_scores(spark, d):
 
 
 @query(std("""SELECT record_id, CASE WHEN length(first_name_std) < 2 THEN first_name_std || 'x' ELSE substr(first_name_std, 1, 1) || substr(first_name_std, 3, 1) || substr(first_name_std, 2, 1) || substr(first_name_std, 4) END AS name,
-    substr(phone_std, 1, length(phone_std) - 1) || (CAST(right(phone_std, 1) AS INT) + 1) % 10 AS phone, split_part(email_std, '@', 1) || '@mail-typo.co' AS email,
+    substr(phone_std, 1, length(phone_std) - 1) || (CAST(right(phone_std, 1) AS INT) + 1) % 10 AS phone, split_part(email_std, '@', 1) || '@elsewhere.example' AS email,
     'no ' || (CAST(regexp_extract(address_std, '[0-9]+') AS INT) + 1) || regexp_extract(address_std, '^[^0-9]*[0-9]+(.*)$', 1) AS address, (CAST(substr(dob_std, 1, 4) AS INT) + 1) || substr(dob_std, 5) AS dob FROM std"""))
 def mutations(spark, d):
     c = F.col
-    return standardized(spark, d).select("record_id", stress.typo_name(c("first_name_std")).alias("name"), stress.shift_phone(c("phone_std")).alias("phone"), stress.switch_domain(c("email_std")).alias("email"), stress.bump_address_number(c("address_std")).alias("address"), stress.shift_dob_year(c("dob_std")).alias("dob"))
+    return standardized(spark, d).select("record_id", stress.second_and_third_swapped(c("first_name_std")).alias("name"), stress.next_last_digit(c("phone_std")).alias("phone"), stress.at_another_domain(c("email_std")).alias("email"), stress.next_house_number(c("address_std")).alias("address"), stress.a_year_later(c("dob_std")).alias("dob"))
 
 
 @query("SELECT doc_id, sha256(coalesce(text, '')) AS digest, lower(trim(lang)) AS lang FROM documents")

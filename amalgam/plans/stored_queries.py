@@ -450,7 +450,7 @@ _VARIANT_FIELDS = ("first_name_std", "phone_std", "email_std", "address_std", "d
 _MUTATED = {
     "first_name_std": "CASE WHEN length({v}) < 2 THEN {v} || 'x' ELSE substr({v}, 1, 1) || substr({v}, 3, 1) || substr({v}, 2, 1) || substr({v}, 4) END",
     "phone_std": "substr({v}, 1, length({v}) - 1) || (CAST(right({v}, 1) AS INT) + 1) % 10",
-    "email_std": "CASE WHEN contains({v}, '@') THEN split_part({v}, '@', 1) || '@mail-typo.co' ELSE {v} END",
+    "email_std": "CASE WHEN contains({v}, '@') THEN split_part({v}, '@', 1) || '@elsewhere.example' ELSE {v} END",
     "address_std": "regexp_extract({v}, '^([^0-9]*)', 1) || (CAST(regexp_extract({v}, '[0-9]+') AS INT) + 1) || regexp_extract({v}, '^[^0-9]*[0-9]+(.*)$', 1)",
     "dob_std": "(CAST(substr({v}, 1, 4) AS INT) + 1) || substr({v}, 5)",
 }

@@ -202,7 +202,7 @@ def test_graph_components_take_all_events(spark, tmp_path):
     for event, user in events:
         a, b = sorted((find(user), find(user + event % 7 * 13)))
         root[b] = a
-    got = {r.node: r.component for r in QUERIES["graph_components_all"](spark, str(tmp_path)).collect()}
+    got = {r.node: r.component for r in QUERIES["graph_components"](spark, str(tmp_path)).collect()}
     assert got == {x: find(x) for x in root} and len(set(got.values())) < len(got) / 2
 
 
