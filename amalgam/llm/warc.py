@@ -44,11 +44,15 @@ def lower_headers(headers: Column) -> Column:
     return F.map_from_entries(F.transform(last, lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value"))))
 
 
-def merged_headers(stored: Column, fresh: Column) -> Column:
-    """The stored fields with those of the 304 response put over them; both with names in lower case."""
-    allowed = F.map_filter(fresh, lambda k, _: ~k.isin(*KEPT))
-    own = F.map_filter(stored, lambda k, _: ~F.array_contains(F.map_keys(allowed), k))
-    return F.map_concat(own, allowed)
+def permitted(headers: Column) -> Column:
+    """The fields, with names in lower case, that a 304 response may put over stored ones."""
+    return F.map_filter(headers, lambda k, _: ~k.isin(*KEPT))
+
+
+def merged_headers(stored: Column, allowed: Column) -> Column:
+    """The stored fields with those ``allowed`` put over them; both with names in lower case."""
+    names = F.map_keys(allowed)
+    return F.map_concat(F.map_filter(stored, lambda k, _: ~F.array_contains(names, k)), allowed)
 
 
 RESULT = ("url_key", "outcome", "source_id", "source_digest", "merged")
@@ -59,7 +63,8 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     url_key, outcome, source_id, source_digest, merged (map with lower-case names)."""
     passed = [c for c in records.columns if c.lower() not in RESULT]
     row = F.struct(*[c for c, n in zip(all_of(records), records.columns, strict=True) if n in passed]).alias("row")
-    base = materialize(records.select(row, "record_id", "ts", "kind", "digest", lower_headers(F.col("headers")).alias("headers"), canonical_url(F.col("url")).alias("url_key")), "warc-records")
+    lower = records.select(row, "record_id", "ts", "kind", "digest", lower_headers(F.col("headers")).alias("headers"), canonical_url(F.col("url")).alias("url_key"))
+    base = materialize(lower.withColumn("allowed", permitted(F.col("headers"))), "warc-records")
     low, high, rows = base.agg(F.min("ts"), F.max("ts"), F.count(F.lit(1))).first()
     spans = chunks_for(rows)
     width = max(1, -(-((high or 0) - (low or 0) + 1) // spans))
@@ -97,7 +102,7 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
         "outcome",
         F.when(resolved, F.col("full.record_id")).when(~revisit, F.col("record_id")).alias("source_id"),
         F.when(resolved, F.col("full.digest")).when(~revisit, F.col("digest")).alias("source_digest"),
-        F.when(resolved, merged_headers(F.col("full.headers"), F.col("headers"))).when(~revisit, F.col("headers")).alias("merged"),
+        F.when(resolved, merged_headers(F.col("full.headers"), F.col("allowed"))).when(~revisit, F.col("headers")).alias("merged"),
     )
 
 
