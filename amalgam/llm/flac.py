@@ -547,9 +547,12 @@ def described(pcm: DataFrame) -> DataFrame:
 
 
 def flac_media(docs: DataFrame) -> DataFrame:
-    """Stores every text as FLAC, writes the PCM blocks decoded from the stored streams, and describes what is read back from those."""
-    stored = materialize(media_column(docs), "flac-media", compression="none")
-    media = stored.select("doc_id", "n_bytes", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "media")
+    """Codes every text as FLAC, writes the PCM blocks decoded from the streams, and describes what is read back from those.
+
+    The streams themselves are not kept: of 8-bit text they are as large as the text, and the blocks, which zstd
+    compresses, hold the same samples.
+    """
+    media = media_column(docs).select("doc_id", "n_bytes", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "media")
     return described(materialize(pcm_column(media), "flac-pcm", compression="zstd"))
 
 
