@@ -430,6 +430,12 @@ def test_slopes_are_those_of_the_mean():
     net, windows, leaves = some_network([5, 3, 2, 1, 1, 4])
     rows, slope, times = net.slopes(windows, leaves)
     assert len(set(rows.tolist())) == len(rows) and times.sum() == 4 * 7 + 7 + net.tree.length[leaves].sum()
+    whole, parts = np.zeros_like(net.weights), np.zeros_like(net.weights)
+    whole[rows] = slope
+    for turn in range(L.STRIDE):  # slopes of every third step have the mean of all
+        r, part, _ = net.slopes(windows, leaves, L.STRIDE, turn)
+        parts[r] += part / L.STRIDE
+    assert np.allclose(parts, whole, atol=1e-5) and net.slopes(windows[:1], leaves[:1], 50, 49)[1].any() == (net.tree.length[leaves[0]] > 49)
     for r in range(len(rows)):
         for c in (0, L.HIDDEN - 1, L.HIDDEN):
             was = net.weights[rows[r], c]
