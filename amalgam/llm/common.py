@@ -19,13 +19,13 @@ ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 ARROW_BATCH = 4 << 20
 
 
-def small_batches(spark: SparkSession) -> None:
+def small_batches(spark: SparkSession, most_bytes: int = ARROW_BATCH) -> None:
     """Arrow batches to Python hold 4 MB at most: ten thousand long texts in one would fill an executor outside its heap."""
-    spark.conf.set(ARROW_BYTES, str(ARROW_BATCH))
+    spark.conf.set(ARROW_BYTES, str(most_bytes))
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
+def documents(spark: SparkSession, sf_dir: str, most_bytes: int = ARROW_BATCH) -> DataFrame:
+    small_batches(spark, most_bytes)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

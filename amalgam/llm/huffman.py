@@ -30,6 +30,8 @@ END_ID = 2
 LIMIT = 16
 STRIDE = 256
 BLOCK_IDS = 1 << 18
+#: Bytes of text whose chunks are looked up together: the more, the more of them are alike.
+SLICE = 8 << 20
 #: The driver knows how many ids each file has.
 MOST_FILES = 1 << 14
 
@@ -135,7 +137,7 @@ def token_ids(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID,
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(tokenizer)
         for batch in batches:
-            for part in slices(batch, 1):
+            for part in slices(batch, 1, SLICE):
                 ids, n = own.encode(part.column(1))
                 ends = np.cumsum(n)
                 whole = np.insert(ids, ends, end_id).astype(kind)
@@ -269,7 +271,7 @@ def read_ids(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame
 
 def op3_huffman_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{work_base(spark)}/ids-{uuid.uuid4().hex}"
-    write_ids(documents(spark, sf_dir), path)
+    write_ids(documents(spark, sf_dir, 2 * SLICE), path)
     return read_ids(spark, path, with_ids=False)
 
 

@@ -430,12 +430,6 @@ def test_slopes_are_those_of_the_mean():
     net, windows, leaves = some_network([5, 3, 2, 1, 1, 4])
     rows, slope, times = net.slopes(windows, leaves)
     assert len(set(rows.tolist())) == len(rows) and times.sum() == 4 * 7 + 7 + net.tree.length[leaves].sum()
-    whole, parts = np.zeros_like(net.weights), np.zeros_like(net.weights)
-    whole[rows] = slope
-    for turn in range(L.STRIDE):  # slopes of every third step have the mean of all
-        r, part, _ = net.slopes(windows, leaves, L.STRIDE, turn)
-        parts[r] += part / L.STRIDE
-    assert np.allclose(parts, whole, atol=1e-5) and net.slopes(windows[:1], leaves[:1], 50, 49)[1].any() == (net.tree.length[leaves[0]] > 49)
     for r in range(len(rows)):
         for c in (0, L.HIDDEN - 1, L.HIDDEN):
             was = net.weights[rows[r], c]
@@ -475,6 +469,14 @@ def test_lm_rare_words(spark):
     assert want[2][2] and want[0][2] is not None
 
 
+def test_windows_of_some_words():
+    vocabulary = L.Vocabulary(["a", "b"], L.Tree.over(np.array([3, 2, 1])), 1)
+    e = L.encode(L.pa.array(["a b a c", None, "b", "c a b"]), vocabulary)
+    for first in range(3):
+        assert np.array_equal(e.windows(first, 3), e.windows()[first::3])
+    assert e.windows()[0].tolist()[:2] == [L.PAD, L.PAD] and e.windows()[4].tolist() == [L.PAD] * 4
+
+
 def test_averages_by_row():
     group = L.pd.DataFrame({"chunk": [3] * 3, "task": [70, 64, 65], "part": [np.array(x, "<f4").tobytes() for x in ([1, 1, 5, 5], [2, 2, 5, 5], [9, 9, 5, 5])], "moved": [np.array(x, "<f4").tobytes() for x in ([1, 0], [3, 0], [0, 0])]})
     row = L.mean_rows(group).iloc[0]
