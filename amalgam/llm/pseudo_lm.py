@@ -6,7 +6,7 @@ which branch it takes, so the words' probabilities given their neighbours add up
 of the conditional log-probabilities of all its words.
 
 Counts are over all documents. Training passes over all of them too: in each round every task goes
-through its part of that round's documents, predicting every fourth word, from the common weights, and the tasks' weights are averaged row by row,
+through its part of that round's documents, predicting every word, from the common weights, and the tasks' weights are averaged row by row,
 each by how many words moved that row, in a tree of 64 parts at a time.
 
 The ``vocabulary`` most frequent words have leaves of their own; the others share one. Which of them it is, is told by
@@ -43,8 +43,6 @@ from .common import documents, lean, materialize, slices
 OFFSETS = (-2, -1, 1, 2)
 #: With the bias a row of weights is 64 bytes.
 HIDDEN = 15
-#: Training predicts every ``STRIDE``-th word of a task's documents, from all words around it; scoring predicts all.
-STRIDE = 4
 KNOWN, BUCKETS = 4096, 512
 PAD = KNOWN + BUCKETS
 #: Rows of weights that context words have: a row per place in the window and input word. The hidden layer's bias comes after them, then the tree's nodes.
@@ -228,6 +226,25 @@ def rows_of(windows: np.ndarray) -> np.ndarray:
     return windows + np.arange(len(OFFSETS), dtype=np.int32) * (PAD + 1)
 
 
+def starts(sorted_rows: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.concatenate([[True], sorted_rows[1:] != sorted_rows[:-1]]))
+
+
+def grouped(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order that sorts ``rows``, the distinct ones, and where each begins."""
+    low = rows - rows.min()
+    by = np.argsort(low.astype(np.uint16) if low.max() < 1 << 16 else low, kind="stable")  # 16 bits sort by radix
+    in_order = rows.take(by)
+    first = starts(in_order)
+    return by, in_order.take(first), first
+
+
+def add_runs(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of runs of rows; complex numbers take two columns at a step, as the width is even."""
+    return np.add.reduceat(values.view(np.complex64), first, axis=0).view(np.float32)
+
+
 class Network:
     """tanh(sum of the context words' vectors + bias), then a logistic unit at each node of the tree. Trained by AdaGrad.
 
@@ -276,18 +293,16 @@ class Network:
         h = self.hidden(windows)
         of, row, w, second, p = self.steps(h, leaves)
         g = ((p - second) * np.float32(1 / len(leaves))).astype(np.float32)[:, None]
-        begin = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
         w *= g
-        down = np.add.reduceat(w, begin, axis=0) * (1 - h * h)  # nothing for the last column, which is 1
-        rows = np.concatenate([rows_of(windows).ravel(order="F"), row])
-        low = rows - rows.min()
-        by = np.argsort(low.astype(np.uint16) if low.max() < 1 << 16 else low, kind="stable")  # 16 bits sort by radix
-        values = np.concatenate([down] * len(OFFSETS) + [h[of] * g])[by]
-        sorted_rows = rows[by]
-        first = np.flatnonzero(np.concatenate([[True], sorted_rows[1:] != sorted_rows[:-1]]))
-        found = np.add.reduceat(values, first, axis=0)
-        times = np.diff(np.append(first, len(rows)))
-        return np.append(sorted_rows[first], CONTEXT), np.concatenate([found, down.sum(axis=0, keepdims=True)]), np.append(times, len(leaves))
+        down = add_runs(w, starts(of)) * (1 - h * h)  # nothing for the last column, which is 1
+        inputs, nodes = rows_of(windows).ravel(order="F"), row
+        by, found_i, first_i = grouped(inputs)
+        slope_i = add_runs(down.take(by % len(down), axis=0), first_i)
+        by, found_n, first_n = grouped(nodes)
+        slope_n = h.take(of.take(by), axis=0)
+        slope_n *= g.take(by, axis=0)
+        times = np.concatenate([np.diff(first_i, append=len(inputs)), np.diff(first_n, append=len(nodes)), [len(leaves)]])
+        return np.concatenate([found_i, found_n, [CONTEXT]]), np.concatenate([slope_i, add_runs(slope_n, first_n), down.sum(axis=0, keepdims=True)]), times
 
     def train(self, windows: np.ndarray, leaves: np.ndarray, rate: float = 0.15) -> None:
         """One pass."""
@@ -295,8 +310,10 @@ class Network:
             return
         for a in range(0, len(leaves), BATCH):
             rows, slope, times = self.slopes(windows[a : a + BATCH], leaves[a : a + BATCH])
-            self.squares[rows] += (slope * slope).mean(axis=1)
-            self.weights[rows] -= np.float32(rate) * slope / np.sqrt(self.squares[rows] + 1e-8)[:, None]
+            squares = self.squares[rows] + np.einsum("ij,ij->i", slope, slope) / np.float32(slope.shape[1])
+            self.squares[rows] = squares
+            slope *= (np.float32(rate) / np.sqrt(squares + 1e-8))[:, None]
+            self.weights[rows] -= slope
             self.moved[rows] += times
 
 
@@ -317,7 +334,7 @@ FAN_IN, LEVELS = 64, 3
 
 
 def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = 2) -> Network:
-    """A pass over all documents, a ``rounds``-th of them in each round."""
+    """A pass over all words of all documents, a ``rounds``-th of the documents in each round."""
     spark = docs.sparkSession
     network = Network(vocabulary.tree)
     words = spark.sparkContext.broadcast(vocabulary.frequent())
@@ -325,13 +342,13 @@ def train(docs: DataFrame, vocabulary: Vocabulary, rounds: int = 2) -> Network:
         start = spark.sparkContext.broadcast(network.weights)
 
         def learn(batches: Iterator[pa.RecordBatch], start=start) -> Iterator[pa.RecordBatch]:
-            own, seen, turn_of = None, False, 0
+            own, seen = None, False
             for batch in batches:
                 for part in slices(batch, 0, SLICE):
                     e = encode(part.column(0), words.value)
                     own = own or Network(words.value.tree, start.value)
-                    own.train(e.windows(turn_of, STRIDE), e.leaves[turn_of::STRIDE])
-                    seen, turn_of = seen or len(e.ids) > 0, (turn_of + 1) % STRIDE
+                    own.train(e.windows(), e.leaves)
+                    seen = seen or len(e.ids) > 0
             if seen:
                 task = TaskContext.get().partitionId()
                 cuts = [(p.astype("<f4").tobytes(), m.astype("<f4").tobytes()) for p, m in zip(np.array_split(own.weights, CHUNKS), np.array_split(own.moved, CHUNKS), strict=True)]

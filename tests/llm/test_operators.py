@@ -477,6 +477,15 @@ def test_windows_of_some_words():
     assert e.windows()[0].tolist()[:2] == [L.PAD, L.PAD] and e.windows()[4].tolist() == [L.PAD] * 4
 
 
+def test_lm_trains_on_every_word(spark):
+    text = " ".join(["a b c d"] * 20_000)  # predicting every fourth word alone would teach one of the four
+    df = spark.createDataFrame([(0, text)], "doc_id long, text string").coalesce(1)
+    vocabulary = L.build_vocabulary(df)
+    e = L.encode(L.pa.array([text]), vocabulary)
+    each = L.train(df, vocabulary).log_prob(e.windows(), e.leaves)
+    assert min(each[k::4].mean() for k in range(4)) > -0.5
+
+
 def test_averages_by_row():
     group = L.pd.DataFrame({"chunk": [3] * 3, "task": [70, 64, 65], "part": [np.array(x, "<f4").tobytes() for x in ([1, 1, 5, 5], [2, 2, 5, 5], [9, 9, 5, 5])], "moved": [np.array(x, "<f4").tobytes() for x in ([1, 0], [3, 0], [0, 0])]})
     row = L.mean_rows(group).iloc[0]
