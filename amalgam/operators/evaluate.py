@@ -165,7 +165,11 @@ def decision_counts(pairs: DataFrame, *by: str) -> DataFrame:
 
 def scenarios(scored: DataFrame, flags: DataFrame) -> DataFrame:
     """Decisions of telling groups of pairs: same e-mail but another name, same name but another date of birth, all agree."""
-    j = scored.join(flags, PAIR)
+    return flagged_scenarios(scored.join(flags, PAIR))
+
+
+def flagged_scenarios(j: DataFrame) -> DataFrame:
+    """:func:`scenarios` of pairs that have their decision and their flags."""
     named = F.filter(
         F.array(
             F.when(F.col("agree_email") & ~F.col("agree_name"), "same_email_other_name"),

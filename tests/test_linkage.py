@@ -241,3 +241,40 @@ def test_recovery_of_damaged_copies(spark):
     made = spark.createDataFrame([("a", "b", 1), ("c", "d", 2), ("e", "f", 2)], PAIRS + ", damaged int")
     scored = spark.createDataFrame([("a", "b", 0.84), ("c", "d", 0.3)], PAIRS + ", match_probability double")
     assert {tuple(r) for r in evaluate.recovery_by_count(made, scored).collect()} == {(1, 1, 1, 0), (2, 2, 0, 1)}
+
+
+def some_records(spark, n=60):
+    import random
+
+    rng = random.Random(4)
+    rows = [(f"r{i:03d}", *(rng.choice([None, "aaab", "aaac", "bbbb", "cccc"]) for _ in range(2)), rng.choice([None, "x", "y", "z"])) for i in range(n)]
+    df = spark.createDataFrame(rows, "record_id string, first_name_std string, last_name_std string, city_std string")
+    return df.withColumns({f"{c}_pre3": F.substring(c, 1, 3) for c in ("first_name_std", "last_name_std")})
+
+
+SOME_RULES = (("name", ("first_name_std", "last_name_std")), ("city", ("city_std",)), ("prefix", ("last_name_std_pre3", "first_name_std_pre3")), ("both", ("city_std", "first_name_std")))
+
+
+def brute_pairs(rows, rules):
+    agree = lambda a, b, columns: all(a[c] is not None and a[c] == b[c] for c in columns)
+    return {(a.record_id, b.record_id): next(n for n, c in rules if agree(a, b, c)) for a in rows for b in rows if a.record_id < b.record_id and any(agree(a, b, c) for _, c in rules)}
+
+
+def test_pairs_bring_their_columns_and_keep_their_rule(spark):
+    df = some_records(spark)
+    rows = df.collect()
+    of, want = {r.record_id: r for r in rows}, brute_pairs(rows, SOME_RULES)
+    got = or_join(df, SOME_RULES, ["last_name_std"]).collect()
+    assert len(got) == len(want) and {(r[0], r[1]): r.rule for r in got} == want and "prefix" in want.values()
+    assert all((r.last_name_std_l, r.last_name_std_r) == (of[r[0]].last_name_std, of[r[1]].last_name_std) for r in got)
+
+
+def test_pairs_are_counted_from_blocks(spark):
+    from amalgam.operators.blocking import count_pairs, pairs_of
+
+    df = some_records(spark)
+    want = brute_pairs(df.collect(), SOME_RULES)
+    groups = {n: [(n, c)] for n, c in SOME_RULES} | {"all": SOME_RULES}
+    got = {r.name: r.pairs for r in count_pairs(df, groups).collect()}
+    assert got == {n: len(brute_pairs(df.collect(), g)) for n, g in groups.items()} and got["all"] == len(want)
+    assert {(r[0], r[1]) for r in pairs_of(df, "r007", SOME_RULES).collect()} == {p for p in want if "r007" in p}
