@@ -7,8 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..config import MATCH_THRESHOLD
 from ..graph import component_ids, connected_components
 from ..ranking import global_row_number
+from ..storage import materialize
+from .blocking import PAIR, any_rule, rule_keys, rule_pairs
+from .comparison import needed_columns, static_comparisons
+from .decide import decision
+from .model import Model, predict, score_wide
 
 
 class GuardError(ValueError):
@@ -44,11 +50,32 @@ def summary(entities: DataFrame) -> DataFrame:
 
 def guarded_cluster(records: DataFrame, pairs: DataFrame, most: int = 5) -> DataFrame:
     """record_id, entity_id, cluster_status: components that are too large or hold a NON_MATCH pair are taken apart for review."""
-    edges = pairs.where("decision = 'MATCH'")
-    base = cluster(records, edges)
+    base = cluster(records, pairs.where("decision = 'MATCH'"))
+    return _taken_apart(base, _inside(pairs.where("decision = 'NON_MATCH'"), base), most)
+
+
+def guarded_cluster_of(records: DataFrame, model: Model, most: int = 5) -> DataFrame:
+    """:func:`guarded_cluster` of the pairs of ``model``, of which only the matches and those inside a component are made.
+
+    A component of more than ``most`` is for review whatever its pairs are, so theirs are not looked at.
+    """
+    base = materialize(cluster(records, predict(records, model, at_least=MATCH_THRESHOLD).select(*PAIR)), "guarded-base")
+    small = base.join(entity_sizes(base).where((F.col("size") > 1) & (F.col("size") <= most)).select("entity_id"), "entity_id", "left_semi")
+    need = list(dict.fromkeys([*rule_keys(model.rules), *needed_columns(static_comparisons())]))
+    members = records.select("record_id", *need).join(small, "record_id")
+    inside = rule_pairs(members, ["entity_id"], need).where(any_rule(model.rules))
+    against = score_wide(inside, model).withColumn("decision", decision(F.col("match_probability"))).where("decision = 'NON_MATCH'")
+    return _taken_apart(base, _inside(against, base), most)
+
+
+def _inside(against: DataFrame, base: DataFrame) -> DataFrame:
+    """entity_id, contradictions: the pairs ``against`` a merge whose sides are in one entity."""
     left, right = (base.select(F.col("record_id").alias(f"record_id_{s}"), F.col("entity_id").alias(f"e_{s}")) for s in "lr")
-    against = pairs.where("decision = 'NON_MATCH'").join(left, "record_id_l").join(right, "record_id_r").where("e_l = e_r")
-    against = against.groupBy(F.col("e_l").alias("entity_id")).agg(F.count(F.lit(1)).alias("contradictions"))
+    met = against.select(*PAIR).join(left, "record_id_l").join(right, "record_id_r").where("e_l = e_r")
+    return met.groupBy(F.col("e_l").alias("entity_id")).agg(F.count(F.lit(1)).alias("contradictions"))
+
+
+def _taken_apart(base: DataFrame, against: DataFrame, most: int) -> DataFrame:
     sizes = entity_sizes(base).join(against, "entity_id", "left")
     review = (F.col("size") > 1) & ((F.col("size") > most) | (F.coalesce("contradictions", F.lit(0)) > 0))
     status = F.when(review, "REVIEW").when(F.col("size") > 1, "MATCHED").otherwise("SINGLETON")
