@@ -40,3 +40,9 @@ def test_all_pairs_that_reach_are_made(both):
     records, every = both
     for p in (0.35, 0.84):
         assert rows(model.predict(records, FIXED, at_least=p).select(*PAIR, "match_probability", "rule")) == rows(every.where(F.col("match_probability") >= p).select(*PAIR, "match_probability", "rule"))
+
+
+def test_decisions_and_their_counts(both):
+    records, every = both
+    assert rows(decide.decided(records, FIXED, KEEP).select(*PAIR, "decision")) == rows(every.select(*PAIR, "decision"))
+    assert rows(decide.decision_counts(records, FIXED)) == rows(every.groupBy("decision").count())
