@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType, StringType
 
+from ..config import MATCH_THRESHOLD
+from ..operators.blocking import PAIR
+from ..operators.model import Model, predict
+from ..storage import materialize
+
 
 class TtlCache:
     """Values by key for ``seconds``."""
@@ -82,6 +87,16 @@ def top_pairs(pairs: DataFrame, n: int) -> DataFrame:
     return pairs.orderBy(F.desc("match_probability"), "record_id_l", "record_id_r").limit(n)
 
 
+def top_of_model(records: DataFrame, model: Model, n: int, steps: Sequence[float] = (0.9999, MATCH_THRESHOLD)) -> DataFrame:
+    """:func:`top_pairs` of all pairs of ``model``: if as many as ``n`` reach a step, no pair below it is among the first,
+    so the pairs of each step are made until they are enough, and all pairs only then."""
+    for p in steps:
+        top = materialize(top_pairs(predict(records, model, at_least=p).select(*PAIR, "match_probability"), n), "top-pairs")
+        if top.count() == n:
+            return top_pairs(top, n)
+    return top_pairs(predict(records, model), n)
+
+
 def candidates_of(pairs: DataFrame, record_id: str, n: int = 50) -> DataFrame:
     """other, match_probability of the pairs of one record."""
     other = F.when(F.col("record_id_l") == record_id, F.col("record_id_r")).otherwise(F.col("record_id_l"))

@@ -46,3 +46,10 @@ def test_decisions_and_their_counts(both):
     records, every = both
     assert rows(decide.decided(records, FIXED, KEEP).select(*PAIR, "decision")) == rows(every.select(*PAIR, "decision"))
     assert rows(decide.decision_counts(records, FIXED)) == rows(every.groupBy("decision").count())
+
+
+def test_guarded_clusters_and_first_pairs(both):
+    records, every = both
+    assert rows(entities.guarded_cluster_of(records, FIXED)) == rows(entities.guarded_cluster(records, every))
+    for n in (3, 10_000):
+        assert serving.top_of_model(records, FIXED, n).select(*PAIR).collect() == serving.top_pairs(every, n).select(*PAIR).collect()
