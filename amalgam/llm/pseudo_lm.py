@@ -26,7 +26,6 @@ columns are not read. A word that was not counted, which only other texts can ho
 from __future__ import annotations
 
 import heapq
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 
@@ -49,9 +48,15 @@ PAD = KNOWN + BUCKETS
 CONTEXT = len(OFFSETS) * (PAD + 1)
 #: Words that go through the network at once: few enough that what is gathered for them stays in a core's cache.
 BATCH = 2048
+#: When they are only scored, less is gathered.
+SCORED = 2 * BATCH
+#: Nodes nearest to the root, by mass: most words pass several of them, so a batch meets them all at once, in products of matrices.
+TOP = 31
+#: A product of matrices with more multiplications goes to several threads of the library, which wait for each other; runs of more rows than ``LONG`` are summed one by one.
+ONE_THREAD, LONG = 1 << 18, 8
 SPREAD = np.random.default_rng(6).integers(1, 1 << 62, 64).astype(np.uint64) | np.uint64(1)
 CHUNKS = 16
-SLICE = 1 << 20
+SLICE = 2 << 20
 #: Of a word beyond the vocabulary: the weight of its neighbours, and how many hashes such neighbours have.
 MEMORY, SYMBOLS = 0.3, 1 << 16
 
@@ -66,6 +71,30 @@ class Tree:
     second: np.ndarray
     #: log odds of the second branch at each inner node
     prior: np.ndarray
+    #: 1 for the second branch, -1 for the first one
+    sign: np.ndarray = field(init=False, repr=False)
+    #: How many steps of each path lead through nodes before the last ``TOP``. Nodes are in ascending order of mass, and paths begin at their leaves, so these come first.
+    low: np.ndarray = field(init=False, repr=False)
+    #: Where each path leaves the ``TOP`` nodes; for each such exit the signs of its branches at these nodes, 0 off the path.
+    exit: np.ndarray = field(init=False, repr=False)
+    signs: np.ndarray = field(init=False, repr=False)
+
+    def __post_init__(self) -> None:
+        self.sign = np.where(self.second, 1, -1).astype(np.float32)
+        before = np.concatenate([[0], np.cumsum(self.node < self.first_top)])
+        self.low = before[self.begin + self.length] - before[self.begin]
+        if not len(self.node):
+            return
+        last = self.begin + self.low  # in the ``TOP`` nodes
+        _, one, self.exit = np.unique(self.node[last] * 2 + self.second[last], return_index=True, return_inverse=True)
+        self.signs = np.zeros((len(one), len(self.prior) - self.first_top), np.float32)
+        for k, leaf in enumerate(one):
+            at = slice(last[leaf], self.begin[leaf] + self.length[leaf])
+            self.signs[k, self.node[at] - self.first_top] = self.sign[at]
+
+    @property
+    def first_top(self) -> int:
+        return max(0, len(self.prior) - TOP)
 
     @staticmethod
     def over(counts: np.ndarray) -> Tree:
@@ -99,6 +128,16 @@ class Tree:
         at = np.repeat(self.begin.take(leaves) - (total - n), n) + np.arange(int(total[-1]) if len(total) else 0)
         return np.repeat(np.arange(len(leaves)), n), self.node.take(at), self.second.take(at)
 
+    def low_steps(self, leaves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[int]]:
+        """Word, node and sign of the steps outside the ``TOP`` nodes, of leaves that come with most such steps first: the first
+        steps of all that have one, then the second ones, and so on, and how many there are of each."""
+        n = np.bincount(self.low.take(leaves))
+        alive = len(leaves) - np.cumsum(n)[:-1]
+        ends = np.cumsum(alive)
+        of = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - alive, alive)
+        at = self.begin.take(leaves).take(of) + np.repeat(np.arange(len(alive)), alive)
+        return of, self.node.take(at), self.sign.take(at), alive.tolist()
+
 
 @dataclass
 class Vocabulary:
@@ -128,10 +167,16 @@ def word_hash(words: pa.Array) -> np.ndarray:
     offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
     size = np.diff(offsets)
     data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]].astype(np.uint64) if len(words) else np.zeros(0, np.uint64)
-    place = np.arange(len(data)) - np.repeat(offsets[:-1] - offsets[0], size)
-    mixed = np.concatenate([[0], np.cumsum((data + np.uint64(1)) * SPREAD[place & 63], dtype=np.uint64)]).astype(np.uint64)
+    place = np.arange(len(data))
+    place -= np.repeat(offsets[:-1] - offsets[0], size)
+    place &= 63
+    data += np.uint64(1)
+    data *= SPREAD.take(place)
+    mixed = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(data, out=mixed[1:])
     ends = offsets - offsets[0] if len(words) else np.zeros(1, np.int64)
-    return ((mixed[ends[1:]] - mixed[ends[:-1]]) >> np.uint64(40)).astype(np.int64)
+    at_ends = mixed.take(ends)
+    return ((at_ends[1:] - at_ends[:-1]) >> np.uint64(40)).astype(np.int64)
 
 
 @dataclass
@@ -155,15 +200,12 @@ class Encoded:
 
     def windows(self, first: int = 0, stride: int = 1) -> np.ndarray:
         """Input ids around each word, or around every ``stride``-th, PAD beyond the ends of its text."""
-        words = np.arange(first, len(self.ids), stride)
-        begin = np.repeat(np.cumsum(self.per_text) - self.per_text, self.per_text)[words]
-        stop = np.repeat(np.cumsum(self.per_text), self.per_text)[words]
-        out = np.full((len(words), len(OFFSETS)), PAD, np.int32)
+        text = np.repeat(np.arange(len(self.per_text), dtype=np.int32), self.per_text)
+        out = np.full((len(self.ids), len(OFFSETS)), PAD, np.int32)
         for k, step in enumerate(OFFSETS):
-            at = words + step
-            good = (at >= begin) & (at < stop)
-            out[good, k] = self.ids[at[good]]
-        return out
+            a, b = slice(max(0, -step), max(0, len(text) - max(0, step))), slice(max(0, step), max(0, len(text) - max(0, -step)))
+            out[a, k] = np.where(text[a] == text[b], self.ids[b], PAD)
+        return out[first::stride]
 
 
 def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -180,30 +222,40 @@ def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
 def encode(texts: pa.Array, vocabulary: Vocabulary) -> Encoded:
     distinct, code, per_text = split_words(texts)
     ids, leaves, symbols = vocabulary.look_up(distinct)
-    return Encoded(ids[code].astype(np.int32), leaves[code].astype(np.int32), symbols[code].astype(np.int32), per_text, distinct, code, len(vocabulary.words))
+    ids, leaves, symbols = (x.astype(np.int32).take(code) for x in (ids, leaves, symbols))
+    return Encoded(ids, leaves, symbols, per_text, distinct, code, len(vocabulary.words))
+
+
+#: Distinct words that a task holds before it passes their counts on.
+HELD = 500_000
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """word, n over all texts; tasks add up their own words first."""
+    """word, n over all texts; tasks add up their own words first, as codes of Arrow dictionaries."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[str] = Counter()
+    def add_up(held: list[tuple[pa.Array, np.ndarray]]) -> tuple[pa.Array, np.ndarray]:
+        coded = pa.concat_arrays([words for words, _ in held]).dictionary_encode()
+        n = np.bincount(coded.indices.to_numpy(), np.concatenate([n for _, n in held]), len(coded.dictionary))  # exact up to 2^53
+        return coded.dictionary, n.astype(np.int64)
 
-        def emit() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_pydict({"word": pa.array(list(held), pa.string()), "n": pa.array(list(held.values()), pa.int64())})
-            held.clear()
-            return out
+    def emit(words: pa.Array, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for a in range(0, len(words), HELD):
+            yield pa.RecordBatch.from_pydict({"word": words[a : a + HELD].cast(pa.string()), "n": pa.array(n[a : a + HELD], pa.int64())})
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[pa.Array, np.ndarray]] = []
         for batch in batches:
             for part in slices(batch, 0):
                 distinct, code, _ = split_words(part.column(0))
                 n = np.bincount(code, minlength=len(distinct))
                 some = np.flatnonzero(n)
-                held.update(dict(zip(distinct.take(pa.array(some)).to_pylist(), n[some].tolist(), strict=True)))
-                if len(held) > 500_000:
-                    yield emit()
+                held.append((distinct.take(pa.array(some)), n[some]))
+                if sum(len(n) for _, n in held) > 2 * HELD:
+                    held = [add_up(held)]
+                    if len(held[0][1]) > HELD:
+                        yield from emit(*held.pop())
         if held:
-            yield emit()
+            yield from emit(*add_up(held))
 
     return docs.select("text").mapInArrow(lean(count), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -231,18 +283,58 @@ def starts(sorted_rows: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], sorted_rows[1:] != sorted_rows[:-1]]))
 
 
-def grouped(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The order that sorts ``rows``, the distinct ones, and where each begins."""
-    low = rows - rows.min()
-    by = np.argsort(low.astype(np.uint16) if low.max() < 1 << 16 else low, kind="stable")  # 16 bits sort by radix
-    in_order = rows.take(by)
-    first = starts(in_order)
-    return by, in_order.take(first), first
+def ranked(values: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order that sorts whole numbers from 0 to ``most``, equal ones as they come, and the sorted numbers: each is sorted
+    with its place in one word, which numpy does several times as fast as an argsort."""
+    kind, bits = (np.uint32, 16) if max(most, len(values)) < 1 << 16 else (np.uint64, 32)
+    both = values.astype(kind) << kind(bits)
+    both |= np.arange(len(values), dtype=kind)
+    both.sort()
+    return (both & kind((1 << bits) - 1)).astype(np.int64), both >> kind(bits)
 
 
-def add_runs(values: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Sums of runs of rows; complex numbers take two columns at a step, as the width is even."""
-    return np.add.reduceat(values.view(np.complex64), first, axis=0).view(np.float32)
+def grouped(rows: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The order that sorts ``rows``, ``most`` at most; the distinct ones, those that occur most first, where each begins, and how often it occurs."""
+    if not len(rows):
+        return (np.zeros(0, np.int64),) * 4
+    by, in_order = ranked(rows, most)
+    first = starts(in_order)
+    n = np.diff(first, append=len(rows))
+    longest = int(n.max())
+    order, _ = ranked(longest - n, longest)
+    first = first.take(order)
+    return by, in_order.take(first).astype(np.int64), first, n.take(order)
+
+
+def add_runs(values: np.ndarray, first: np.ndarray, n: np.ndarray, out: np.ndarray) -> None:
+    """Sums of runs of rows, the longest first. Of short runs all first rows are taken, all second ones added to them, and so on."""
+    values.take(first, axis=0, out=out, mode="clip")
+    more = len(n) - np.cumsum(np.bincount(np.minimum(n, LONG + 1), minlength=LONG + 2))  # runs of more than so many rows
+    long = int(more[LONG])
+    if long:
+        ends = np.cumsum(n[:long])
+        rows = values.take(np.arange(ends[-1]) + np.repeat(first[:long] - (ends - n[:long]), n[:long]), axis=0)
+        # complex numbers take two columns at a step, as the width is even
+        out[:long] = np.add.reduceat(rows.view(np.complex64), ends - n[:long], axis=0).view(np.float32)
+    for k in range(1, LONG):
+        if (m := int(more[k])) > long:
+            out[long:m] += values.take(first[long:m] + k, axis=0)
+
+
+def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``a @ b`` by blocks of rows of ``a``, which has many: each block on this thread."""
+    out, rows = np.empty((len(a), b.shape[1]), np.float32), max(1, ONE_THREAD // b.size)
+    for k in range(0, len(a), rows):
+        np.matmul(a[k : k + rows], b, out=out[k : k + rows])
+    return out
+
+
+def one_plus_exp(x: np.ndarray) -> np.ndarray:
+    """1 + exp(x), in place."""
+    np.clip(x, -30, 30, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return x
 
 
 class Network:
@@ -270,57 +362,95 @@ class Network:
         h[:, HIDDEN] = 1
         return h
 
-    def steps(self, h: np.ndarray, leaves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of each step on the leaves' paths: the word it belongs to, its row of weights, that row, the branch, and the chance of the second one."""
-        of, node, second = self.tree.paths(leaves)
-        row = node + (CONTEXT + 1)
-        w = self.weights.take(row, axis=0)
-        z = np.einsum("ij,ij->i", h.take(of, axis=0), w)
-        return of, row, w, second, 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    def top(self) -> np.ndarray:
+        """The weights of the tree's ``TOP`` nodes."""
+        return self.weights[CONTEXT + 1 + self.tree.first_top :]
+
+    def order(self, leaves: np.ndarray) -> np.ndarray:
+        """Words with most steps outside the ``TOP`` nodes first."""
+        low = self.tree.low.take(leaves)
+        longest = low.max(initial=0)
+        return ranked(longest - low, int(longest))[0]
 
     def log_prob(self, windows: np.ndarray, leaves: np.ndarray) -> np.ndarray:
+        """Of each word, the sum of -log(1 + exp(-z)) over its path, z being signed by the branch."""
         out = np.zeros(len(leaves))
         if len(self.tree.length) < 2:
             return out
-        for a in range(0, len(leaves), BATCH):
-            of, _, _, second, p = self.steps(self.hidden(windows[a : a + BATCH]), leaves[a : a + BATCH])
-            first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
-            out[a : a + BATCH] = np.log(np.multiply.reduceat(np.where(second, p, 1 - p).astype(np.float64), first))
+        top = np.ascontiguousarray(self.top().T)
+        for a in range(0, len(leaves), SCORED):
+            order = self.order(leaves[a : a + SCORED])
+            mine = leaves[a : a + SCORED].take(order)
+            h = self.hidden(windows[a : a + SCORED].take(order, axis=0))
+            sign = self.tree.signs.take(self.tree.exit.take(mine), axis=0)
+            z = product(h, top)
+            z *= sign
+            z = np.log(one_plus_exp(np.negative(z, out=z)), out=z)
+            whole = np.einsum("ij,ij->i", z, np.abs(sign, out=sign)).astype(np.float64)
+            of, node, sign, alive = self.tree.low_steps(mine)
+            z = np.einsum("ij,ij->i", h.take(of, axis=0), self.weights.take(node + (CONTEXT + 1), axis=0))
+            z *= sign
+            z, at = np.log(one_plus_exp(np.negative(z, out=z)), out=z), 0
+            for m in alive:
+                whole[:m] += z[at : at + m]
+                at += m
+            out[a + order] = -whole
         return out
 
     def slopes(self, windows: np.ndarray, leaves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The rows of weights that a batch touches, the slopes of its mean negative log-probability there, and how often each is touched."""
-        order = np.argsort(self.tree.length.take(leaves), kind="stable")  # words with paths of one length make one product
+        """The rows of weights that a batch touches, and all of ``TOP`` nodes, the slopes of its mean negative log-probability there, and how often each is touched.
+
+        At a node the slope is that of log(1 + exp(-sign * z)): -sign / (1 + exp(sign * z)).
+        """
+        order, tree = self.order(leaves), self.tree
         windows, leaves = windows.take(order, axis=0), leaves.take(order)
-        h = self.hidden(windows)
-        of, row, w, second, p = self.steps(h, leaves)
-        g = ((p - second) * np.float32(1 / len(leaves))).astype(np.float32)[:, None]
-        down, lengths, at = np.empty_like(h), self.tree.length.take(leaves), 0
-        first = starts(lengths)
-        for a, b in zip(first.tolist(), [*first[1:].tolist(), len(leaves)], strict=True):
-            n, begin = int(lengths[a]), at
-            at += n * (b - a)
-            np.matmul(g[begin:at].reshape(b - a, 1, n), w[begin:at].reshape(b - a, n, -1), out=down[a:b, None])
+        h, scale = self.hidden(windows), np.float32(-1 / len(leaves))
+        top, exits = self.top(), tree.exit.take(leaves)
+        sign, g = tree.signs.take(exits, axis=0), product(h, np.ascontiguousarray(top.T))
+        g *= sign
+        sign *= scale
+        np.divide(sign, one_plus_exp(g), out=g)
+        down = product(g, top)
+        of, node, sign, alive = tree.low_steps(leaves)
+        by, found_n, first_n, times_n = grouped(node, len(tree.prior))
+        inputs, found_i, first_i, times_i = grouped(rows_of(windows).ravel(order="F"), CONTEXT)
+        i, n = len(found_i), len(found_i) + len(found_n)
+        slope = np.zeros((n + len(top) + 1, HIDDEN + 1), np.float32)
+        for k in range(0, len(h), some := max(1, ONE_THREAD // top.size)):
+            slope[n:-1] += g[k : k + some].T @ h[k : k + some]
+        w = self.weights.take(node + (CONTEXT + 1), axis=0)
+        g = np.einsum("ij,ij->i", h.take(of, axis=0), w)
+        g *= sign
+        sign *= scale
+        np.divide(sign, one_plus_exp(g), out=g)
+        w *= g[:, None]
+        at = 0
+        for m in alive:
+            down[:m] += w[at : at + m]
+            at += m
         down *= 1 - h * h  # nothing for the last column, which is 1
-        inputs, nodes = rows_of(windows).ravel(order="F"), row
-        by, found_i, first_i = grouped(inputs)
-        slope_i = add_runs(down.take(by % len(down), axis=0), first_i)
-        by, found_n, first_n = grouped(nodes)
-        slope_n = h.take(of.take(by), axis=0)
-        slope_n *= g.take(by, axis=0)
-        times = np.concatenate([np.diff(first_i, append=len(inputs)), np.diff(first_n, append=len(nodes)), [len(leaves)]])
-        return np.concatenate([found_i, found_n, [CONTEXT]]), np.concatenate([slope_i, add_runs(slope_n, first_n), down.sum(axis=0, keepdims=True)]), times
+        w = h.take(of.take(by), axis=0)
+        w *= g.take(by)[:, None]
+        if len(found_n):
+            add_runs(w, first_n, times_n, slope[i:n])
+        add_runs(down.take(np.tile(np.arange(len(down)), len(OFFSETS)).take(inputs), axis=0), first_i, times_i, slope[:i])
+        slope[-1] = down.view(np.complex64).sum(axis=0).view(np.float32)
+        times_t = np.bincount(exits, minlength=len(tree.signs)) @ np.abs(tree.signs)
+        rows = [found_i, found_n + (CONTEXT + 1), np.arange(len(self.weights) - len(top), len(self.weights)), [CONTEXT]]
+        return np.concatenate(rows), slope, np.concatenate([times_i, times_n, times_t, [len(leaves)]])
 
     def train(self, windows: np.ndarray, leaves: np.ndarray, rate: float = 0.15) -> None:
         """One pass."""
         if len(self.tree.length) < 2:
             return
+        whole = self.weights.view(f"V{self.weights[0].nbytes}")[:, 0]  # rows as single values are written at twice the speed
         for a in range(0, len(leaves), BATCH):
             rows, slope, times = self.slopes(windows[a : a + BATCH], leaves[a : a + BATCH])
             squares = self.squares.take(rows) + np.einsum("ij,ij->i", slope, slope) / np.float32(slope.shape[1])
             self.squares[rows] = squares
             slope *= (np.float32(rate) / np.sqrt(squares + 1e-8))[:, None]
-            self.weights[rows] = self.weights.take(rows, axis=0) - slope
+            np.subtract(self.weights.take(rows, axis=0), slope, out=slope)
+            whole[rows] = slope.view(whole.dtype)[:, 0]
             self.moved[rows] += times
 
 
@@ -379,19 +509,23 @@ def rare_log_probs(tokens: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     between the same neighbours elsewhere. ``tokens``: at, word, before, after.
 
     All is counted within a word, and a rare word has fewer occurrences than each word of the vocabulary, so no task
-    gets more than its share.
+    gets more than its share. Rows are dealt by word and sorted once, by word and neighbours, which serves the counting
+    and the join. Only words that stand between the same neighbours elsewhere look up how many rare words do.
     """
     counts = vocabulary.rare.select(F.xxhash64("word").alias("key"), "n")
-    own = tokens.select("at", F.xxhash64("word").alias("key"), "before", "after")
-    # a row per symbol: the vocabulary, SYMBOLS hashes and the edge of a text at most
-    near = {c: F.broadcast(tokens.groupBy(c).agg(F.count(F.lit(1)).alias(f"n_{c}"))) for c in ("before", "after")}
-    wide = own.join(near["before"], "before").join(near["after"], "after").join(counts, "key", "left")
-    same = F.count(F.lit(1)).over(Window.partitionBy("key", "before", "after")) - 1
-    wide = wide.withColumn("again", same)
+    both = F.shiftleft(F.col("before").cast("long"), 32).bitwiseOR(F.col("after").cast("long"))
+    own = tokens.select("at", F.xxhash64("word").alias("key"), both.alias("both")).repartition("key")
+    same = F.count(F.lit(1)).over(Window.partitionBy("key", "both")) - 1
+    wide = own.withColumn("again", same).join(counts, "key", "left")
+    again = F.col("again") > 0
+    for c, symbol in (("before", F.shiftright("both", 32)), ("after", F.col("both").bitwiseAND(F.lit((1 << 32) - 1)))):
+        # a row per symbol: the vocabulary, SYMBOLS hashes and the edge of a text at most
+        near = tokens.groupBy(F.col(c).cast("long").alias(c)).agg(F.count(F.lit(1)).alias(f"n_{c}"))
+        wide = wide.join(F.broadcast(near), F.when(again, symbol) == F.col(c), "left")
     share = F.coalesce("n", F.lit(1)) / F.lit(vocabulary.left)
-    room = F.least("n_before", "n_after") - 1
-    p = (1 - MEMORY) * share + F.when(room > 0, MEMORY * F.col("again") / room).otherwise(0.0)
-    return wide.groupBy("at").agg(F.sum(F.log(p)).alias("log_prob"), F.count_if(F.col("again") > 0).alias("again"))
+    room = F.least("n_before", "n_after") - 1  # 1 at least where there is another one
+    p = (1 - MEMORY) * share + F.when(again, MEMORY * F.col("again") / room).otherwise(0.0)
+    return wide.groupBy("at").agg(F.sum(F.log(p)).alias("log_prob"), F.count_if(again).alias("again"))
 
 
 def score(docs: DataFrame, vocabulary: Vocabulary, network: Network) -> DataFrame:
@@ -424,8 +558,8 @@ def score(docs: DataFrame, vocabulary: Vocabulary, network: Network) -> DataFram
                 at += part.num_rows
 
     parts = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), PARTS), "lm-parts", compression="zstd")
-    tokens = parts.where("word is not null").select("at", "word", "before", "after")
-    whole = parts.where("word is null").select("at", "doc_id", "n_tokens", "log_prob").unionByName(rare_log_probs(tokens, vocabulary), allowMissingColumns=True)
+    tokens = parts.where("before is not null").select("at", "word", "before", "after")
+    whole = parts.where("before is null").select("at", "doc_id", "n_tokens", "log_prob").unionByName(rare_log_probs(tokens, vocabulary), allowMissingColumns=True)
     whole = whole.groupBy("at").agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("log_prob").alias("log_prob"), F.coalesce(F.sum("again"), F.lit(0)).alias("again"))
     some = F.col("n_tokens") > 0
     return whole.select("doc_id", "n_tokens", "log_prob", F.when(some, F.col("log_prob") / F.col("n_tokens")).alias("mean_log_prob"), F.when(some, F.col("again") / F.col("n_tokens")).alias("seen_again"))
