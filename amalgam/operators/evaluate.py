@@ -158,9 +158,10 @@ def truth_independence(records: DataFrame) -> DataFrame:
     return per_customer.crossJoin(per_device).withColumn("one_to_one", (F.col("devices_per_customer") == 1) & (F.col("customers_per_device") == 1))  # single rows
 
 
-def decision_counts(pairs: DataFrame, *by: str) -> DataFrame:
-    d = F.col("decision")
-    return pairs.groupBy(*by).agg(F.count(F.lit(1)).alias("pairs"), *[F.count_if(d == v).alias(v.lower()) for v in ("MATCH", "REVIEW", "NON_MATCH")])
+def decision_counts(pairs: DataFrame, *by: str, n: Column | None = None) -> DataFrame:
+    """Pairs per decision; ``n`` tells how many a row stands for."""
+    d, n = F.col("decision"), F.lit(1).cast("long") if n is None else n
+    return pairs.groupBy(*by).agg(F.sum(n).alias("pairs"), *[F.sum(F.when(d == v, n).otherwise(0)).alias(v.lower()) for v in ("MATCH", "REVIEW", "NON_MATCH")])
 
 
 def scenarios(scored: DataFrame, flags: DataFrame) -> DataFrame:
@@ -168,8 +169,8 @@ def scenarios(scored: DataFrame, flags: DataFrame) -> DataFrame:
     return flagged_scenarios(scored.join(flags, PAIR))
 
 
-def flagged_scenarios(j: DataFrame) -> DataFrame:
-    """:func:`scenarios` of pairs that have their decision and their flags."""
+def flagged_scenarios(j: DataFrame, n: Column | None = None) -> DataFrame:
+    """:func:`scenarios` of pairs that have their decision and their flags; ``n`` tells how many a row stands for."""
     named = F.filter(
         F.array(
             F.when(F.col("agree_email") & ~F.col("agree_name"), "same_email_other_name"),
@@ -178,7 +179,7 @@ def flagged_scenarios(j: DataFrame) -> DataFrame:
         ),
         lambda x: x.isNotNull(),
     )
-    return decision_counts(j.withColumn("scenario", F.explode(named)), "scenario")
+    return decision_counts(j.withColumn("scenario", F.explode(named)), "scenario", n=n)
 
 
 def no_contact(records: DataFrame, entities: DataFrame) -> DataFrame:
